@@ -208,19 +208,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 12, depth:
 
 
 def _left_over(giants: DataFrame, named: DataFrame, leaf: int) -> DataFrame:
-    """Rows (leaf, sid, side, label): in each giant node, blocks of members outside its largest component
-    against blocks of all members."""
-    rows = giants.select("node", "n", "sid").join(named.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("component", "sid"))
+    """Rows (leaf, sid, side, label): members of giant nodes outside the node's largest component, in blocks,
+    against blocks of all members. Nodes of several trees with one largest component are taken together,
+    since their members are nearly the same."""
+    rows = giants.select("node", "sid").join(named.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("component", "sid"))
     shares = rows.groupBy("node", "label").agg(F.count("*").alias("k"))
     top = shares.groupBy("node").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("all"))
-    top = top.where(F.col("top.k") < F.col("all")).select("node", F.col("top.label").alias("main"), F.ceil((F.col("all") - F.col("top.k")) / leaf).alias("r_blocks"))
-    rows = materialize(rows.join(top, "node"))
-    m_blocks = F.ceil(F.col("n") / leaf)
+    top = top.where(F.col("top.k") < F.col("all")).select("node", F.col("top.label").alias("main"))
+    rows = materialize(rows.join(top, "node").groupBy("main", "sid", "label").count().drop("count"))
+    per = rows.groupBy("main").agg(F.ceil(F.count_if(F.col("label") != F.col("main")) / leaf).alias("r_blocks"), F.ceil(F.count("*") / (4 * leaf)).alias("m_blocks"))
+    rows = rows.join(per, "main")
     own = lambda n, salt: F.pmod(F.xxhash64("sid", F.lit(salt)), n)
-    steps = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    residual = rows.where("label <> main").withColumn("r", own(F.col("r_blocks"), 1)).withColumn("m", F.explode(steps(m_blocks))).withColumn("side", F.lit(True))
-    every = rows.withColumn("m", own(m_blocks, 2)).withColumn("r", F.explode(steps(F.col("r_blocks")))).withColumn("side", F.lit(False))
-    return residual.select("node", "r", "m", "sid", "side", "label").unionByName(every.select("node", "r", "m", "sid", "side", "label")).select(F.xxhash64("node", "r", "m").alias("leaf"), "sid", "side", "label")
+    steps = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    residual = rows.where("label <> main").withColumn("r", own(F.col("r_blocks"), 1)).withColumn("m", steps("m_blocks")).withColumn("side", F.lit(True))
+    every = rows.withColumn("m", own(F.col("m_blocks"), 2)).withColumn("r", steps("r_blocks")).withColumn("side", F.lit(False))
+    both = residual.select("main", "r", "m", "sid", "side", "label").unionByName(every.select("main", "r", "m", "sid", "side", "label"))
+    return both.select(F.xxhash64("main", "r", "m").alias("leaf"), "sid", "side", "label")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
