@@ -31,11 +31,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, map_pandas, materialize
+from .common import WORD, map_pandas, materialize
 from .components import components
 
 THRESHOLD, LEAST = 2, 20
 BROADCAST_IDS = 2_000_000
+#: Characters of lines whose keys are made at once, and lines that a task remembers.
+CHUNK, SEEN = 1_000_000, 300_000
 
 
 def segments(n: int, threshold: int) -> list[tuple[int, int]]:
@@ -109,7 +111,7 @@ def within(a: str, b: str, threshold: int) -> bool:
 
 
 def _has_word(line: Column) -> Column:
-    return F.length(F.trim(F.translate(line, SPACES, " " * 6))) > 0
+    return line.rlike(WORD)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -127,35 +129,40 @@ def _keys(docs: DataFrame, threshold: int, least: int, probing: bool) -> DataFra
             windows[n] = probes(n, threshold) if probing else [(n, i, at, size) for i, (at, size) in enumerate(segments(n, threshold))]
         return windows[n]
 
+    def entries(lines: list[str], ids: list[int]) -> pd.DataFrame:
+        digest, sizes = xxhash.xxh3_64_intdigest, [len(x) for x in lines]
+        keys, per = [], []
+        for line, n in zip(lines, sizes, strict=True):
+            at = places(n)
+            per.append(len(at))
+            keys += [digest(line[p : p + size].encode(), length << 6 | i) for length, i, p, size in at]
+        code = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4").astype(np.int32) % 61
+        parity = np.bincount(np.repeat(np.arange(len(lines)), sizes) * 64 + code, minlength=64 * len(lines)).reshape(-1, 64) & 1
+        packed = np.packbits(parity.astype(np.uint8), axis=1).view(np.int64).ravel()
+        own = np.repeat(np.arange(len(lines)), per)
+        return pd.DataFrame({"key": np.array(keys, np.uint64).view(np.int64), "id": np.array(ids, np.uint64).view(np.int64)[own], "n": np.array(sizes, np.int32)[own], "parity": packed[own]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digest = xxhash.xxh3_64_intdigest
         seen: set[int] = set()
+        lines, ids, room = [], [], CHUNK
         for batch in batches:
-            ids, sizes, lines = [], [], []
             for text in batch["text"]:
                 for line in (text or "").split("\n"):
                     if len(line) >= least:
                         h = digest(line.encode())
                         if h not in seen:
                             seen.add(h)
-                            ids.append(h)
-                            sizes.append(len(line))
                             lines.append(line)
-            if len(seen) > 1_000_000:
-                seen.clear()
-            if not lines:
-                continue
-            keys, per = [], []
-            for line, n in zip(lines, sizes, strict=True):
-                at = places(n)
-                per.append(len(at))
-                keys += [digest(line[p : p + size].encode(), length << 6 | i) for length, i, p, size in at]
-            code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) % 61
-            parity = np.bincount(np.repeat(np.arange(len(lines)), sizes) * 64 + code, minlength=64 * len(lines)).reshape(-1, 64) & 1
-            packed = np.packbits(parity.astype(np.uint8), axis=1).view(np.int64).ravel()
-            own = np.repeat(np.arange(len(lines)), per)
-            out = pd.DataFrame({"key": np.array(keys, np.uint64).view(np.int64), "id": np.array(ids, np.uint64).view(np.int64)[own], "n": np.array(sizes, np.int32)[own], "parity": packed[own]})
-            yield out.drop_duplicates(["key", "id"]) if probing else out
+                            ids.append(h)
+                            room -= len(line)
+                if room < 0:
+                    yield entries(lines, ids)
+                    lines, ids, room = [], [], CHUNK
+                    if len(seen) > SEEN:
+                        seen.clear()
+        if lines:
+            yield entries(lines, ids)
 
     return map_pandas(docs.select("text"), run, "key long, id long, n int, parity long")
 

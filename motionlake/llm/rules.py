@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, materialize, word_list
+from .common import SPACES, WORD, materialize, word_list
 
 SYMBOLS = "#*$%&|<>"
 LANGUAGES = ("de", "en", "es", "fr")
@@ -44,7 +44,7 @@ def measured(docs: DataFrame) -> DataFrame:
     """
     p = PREFIX
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.trim(F.translate(x, SPACES, " " * 6))) > 0)
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     out = docs.withColumns({f"{p}words": word_list(F.col("text")), f"{p}lines": lines})
     out = out.withColumns({f"{p}n_words": F.size(f"{p}words").cast("long"), f"{p}n_lines": F.size(f"{p}lines").cast("long")})
     # windows of a text of n words: the sizes agree since both slices and the base are cut to n - 2
