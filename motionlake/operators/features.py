@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import bucket_of, finite_or_zero, sanitized_gap, thw_soft
-from .windows import BY, step
+from .windows import in_order, step
 
 CORE = ("acc_abs_p95", "acc_abs_p99", "acc_rms", "jerk_abs_p95", "jerk_abs_p99", "jerk_rms", "yaw_rate_rms", "yaw_rate_abs_p95", "heading_change_total")
 MOTION = (*CORE, "speed_control_oscillation", "cf_valid_frac")
@@ -29,7 +29,7 @@ def core_features(rows: DataFrame) -> DataFrame:
 def oscillation(rows: DataFrame, least: float = 1e-3) -> DataFrame:
     """wid, speed_control_oscillation: the share of sign changes among speed steps of over `least`; 0 with fewer than two."""
     moved = rows.where("i > 0").where(F.abs("a") > least)
-    flip = F.signum("a") * F.lag(F.signum("a")).over(BY) < 0
+    flip = F.signum("a") * F.lag(F.signum("a")).over(in_order()) < 0
     share = moved.withColumn("flip", flip).groupBy("wid").agg(F.avg(F.col("flip").cast("double")).alias("s"))
     return rows.select("wid").distinct().join(share, "wid", "left").select("wid", F.coalesce("s", F.lit(0.0)).alias("speed_control_oscillation"))
 
@@ -76,7 +76,7 @@ def ridge_gains(rows: DataFrame, least_points: int = 20, penalty: float = 1e-3,
 def sync_lag(rows: DataFrame, least_points: int = 20, most: int = 10, least: float = 1e-8) -> DataFrame:
     """wid, acc_sync_lag, acc_sync_corr: the lag with the highest correlation of the two accelerations over following
     frames, which are numbered afresh; the smallest of equal lags."""
-    f = rows.where("following").select("wid", "a", "fa", (F.row_number().over(BY) - 1).alias("p"))
+    f = rows.where("following").select("wid", "a", "fa", (F.row_number().over(in_order()) - 1).alias("p"))
     whole = f.groupBy("wid").agg(F.count("*").alias("n"), F.var_pop("a").alias("va"), F.var_pop("fa").alias("vf"))
     usable = whole.where((F.col("n") >= max(3, least_points)) & (F.col("va") >= least) & (F.col("vf") >= least)).select("wid")
     left = f.join(usable, "wid").select("wid", "a", "p", F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag"))

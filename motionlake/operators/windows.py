@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import TWO_PI, heading, norm2, split_of, thw_floor, thw_soft, wrap_angle
 
-BY = Window.partitionBy("wid").orderBy("i")
+
+def in_order():
+    """A window's frames in order."""
+    return Window.partitionBy("wid").orderBy("i")
 
 
 def sliding(aligned: DataFrame, length: int = 80, stride: int = 20) -> DataFrame:
@@ -21,7 +24,7 @@ def sliding(aligned: DataFrame, length: int = 80, stride: int = 20) -> DataFrame
     first = F.greatest(F.lit(0), F.ceil((F.col("k") - (length - 1)) / stride)).cast("bigint")
     final = F.floor(F.least(F.col("k"), F.col("last")) / stride).cast("bigint")
     rows = aligned.withColumn("last", last).where("last >= 0").withColumns({"a": first, "b": final}).where("a <= b")
-    rows = rows.withColumn("start", F.explode(F.sequence("a", "b")) * stride)
+    rows = rows.withColumn("start", F.explode(F.transform(F.sequence("a", "b"), lambda s: s * stride)))
     return rows.select((F.col("scenario_id") * 1_000_000 + F.col("start")).alias("wid"), "scenario_id", "start", (F.col("k") - F.col("start")).alias("i"), "front_id", "x", "y", "vx", "vy", "fx", "fy", "fvx", "fvy")
 
 
@@ -31,26 +34,26 @@ def window_rows(windows: DataFrame) -> DataFrame:
     return rows.withColumn("split", split_of(F.concat(F.lit("scenario_"), F.col("scenario_id").cast("string"))))
 
 
-def step(c: Column, w=BY) -> Column:
+def step(c: Column) -> Column:
     """Backward difference, 0 at the first row."""
-    return F.coalesce(c - F.lag(c).over(w), F.lit(0.0))
+    return F.coalesce(c - F.lag(c).over(in_order()), F.lit(0.0))
 
 
-def gradient(c: Column, dt: float, w=BY) -> Column:
+def gradient(c: Column, dt: float) -> Column:
     """Central differences, one-sided at the ends."""
-    before, after = F.lag(c).over(w), F.lead(c).over(w)
+    before, after = F.lag(c).over(in_order()), F.lead(c).over(in_order())
     return F.when(before.isNull(), (after - c) / dt).when(after.isNull(), (c - before) / dt).otherwise((after - before) / (2 * dt))
 
 
 def unwrap(rows: DataFrame, column: str, out: str) -> DataFrame:
     """`out`: the angle with jumps of more than half a turn taken out, by a running sum of corrections."""
-    d = F.col(column) - F.lag(column).over(BY)
+    d = F.col(column) - F.lag(column).over(in_order())
     half = TWO_PI / 2
     bent = wrap_angle(F.col("_d"))
     bent = F.when((bent == -half) & (F.col("_d") > 0), half).otherwise(bent)
     fix = F.when(F.abs("_d") < half, 0.0).otherwise(bent - F.col("_d"))
     rows = rows.withColumn("_d", d).withColumn("_fix", F.coalesce(fix, F.lit(0.0)))
-    return rows.withColumn(out, F.col(column) + F.sum("_fix").over(BY.rowsBetween(Window.unboundedPreceding, 0))).drop("_d", "_fix")
+    return rows.withColumn(out, F.col(column) + F.sum("_fix").over(in_order().rowsBetween(Window.unboundedPreceding, 0))).drop("_d", "_fix")
 
 
 def kinematics(windows: DataFrame) -> DataFrame:
@@ -58,7 +61,7 @@ def kinematics(windows: DataFrame) -> DataFrame:
     rows = windows.withColumns({"v": norm2(F.col("vx"), F.col("vy")), "fv": norm2(F.col("fvx"), F.col("fvy")), "d": norm2(F.col("fx") - F.col("x"), F.col("fy") - F.col("y"))})
     rows = rows.withColumns({"a": step(F.col("v")), "fa": step(F.col("fv")), "dx": step(F.col("x")), "dy": step(F.col("y")), "v_rel": F.col("v") - F.col("fv")})
     rows = rows.withColumn("heading", heading(F.col("dx"), F.col("dy"), F.col("vx"), F.col("vy")))
-    back = F.col("heading") - F.lag("heading").over(BY)
+    back = F.col("heading") - F.lag("heading").over(in_order())
     rows = rows.withColumns({"jerk": step(F.col("a")), "yaw": F.coalesce(wrap_angle(back), F.lit(0.0)), "thw": thw_soft(F.col("d"), F.col("v"))})
     return rows.withColumn("following", (F.col("v") > 5.5) & (F.col("d") >= 8) & (F.col("d") <= 60) & (F.abs("v_rel") < 6))
 
@@ -67,7 +70,7 @@ def relative_kinematics(windows: DataFrame, dt: float = 0.1) -> DataFrame:
     """The 12 relative columns per frame."""
     rows = windows.withColumns({"ego_v": norm2(F.col("vx"), F.col("vy")), "front_v": norm2(F.col("fvx"), F.col("fvy")), "dx": F.col("fx") - F.col("x"), "dy": F.col("fy") - F.col("y"), "ego_heading": F.atan2("vy", "vx")})
     rows = rows.withColumns({"v_rel": F.col("ego_v") - F.col("front_v"), "dist": norm2(F.col("dx"), F.col("dy"))})
-    turn = wrap_angle(F.col("ego_heading") - F.lag("ego_heading").over(BY))
+    turn = wrap_angle(F.col("ego_heading") - F.lag("ego_heading").over(in_order()))
     rate = lambda c: step(F.col(c)) / dt
     return rows.select("wid", "i", "ego_v", "front_v", "v_rel", "dx", "dy", "dist", rate("dist").alias("closing_rate"), rate("ego_v").alias("ego_a"), rate("front_v").alias("front_a"), "ego_heading", (F.coalesce(turn, F.lit(0.0)) / dt).alias("ego_yaw_rate"), thw_floor(F.col("dist"), F.col("ego_v"), 1e-6).alias("thw"))
 
@@ -77,7 +80,7 @@ def replay_signals(windows: DataFrame, dt: float = 0.1) -> DataFrame:
     curvature (gradients), gap, thw."""
     rows = windows.withColumns({"speed": norm2(F.col("vx"), F.col("vy")), "raw": F.atan2("vy", "vx"), "gap": norm2(F.col("fx") - F.col("x"), F.col("fy") - F.col("y"))})
     rows = unwrap(rows, "raw", "heading")
-    back = F.coalesce(wrap_angle(F.col("raw") - F.lag("raw").over(BY)), F.lit(0.0)) / dt
+    back = F.coalesce(wrap_angle(F.col("raw") - F.lag("raw").over(in_order())), F.lit(0.0)) / dt
     rows = rows.withColumns({"accel": gradient(F.col("speed"), dt), "yaw": gradient(F.col("heading"), dt), "yaw_step": back})
     floor = F.greatest("speed", F.lit(1e-8))
     rows = rows.withColumns({"jerk": gradient(F.col("accel"), dt), "curvature": F.col("yaw") / floor, "curvature_step": F.col("yaw_step") / floor, "thw": F.col("gap") / floor})
@@ -98,7 +101,7 @@ def signal_summary(signals: DataFrame) -> DataFrame:
 
 def aligned_to_start(windows: DataFrame) -> DataFrame:
     """wid, i, ax, ay: positions moved to the window's first frame and turned by its heading."""
-    first = lambda c: F.first(c).over(BY.rowsBetween(Window.unboundedPreceding, 0))
+    first = lambda c: F.first(c).over(in_order().rowsBetween(Window.unboundedPreceding, 0))
     rows = windows.withColumns({"x0": first("x"), "y0": first("y"), "h0": F.atan2(first("vy"), first("vx"))})
     px, py = F.col("x") - F.col("x0"), F.col("y") - F.col("y0")
     return rows.select("wid", "i", (px * F.cos("h0") + py * F.sin("h0")).alias("ax"), (py * F.cos("h0") - px * F.sin("h0")).alias("ay"))

@@ -1 +1 @@
-
+"""Named queries and their equivalents in ANSI SQL."""
