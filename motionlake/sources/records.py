@@ -18,6 +18,8 @@ from ..session import ship_package
 SCHEMA = "path string, position long, scenario_id string, sdc_track_index int, tracks array<struct<states array<struct<valid boolean, center_x double, center_y double, velocity_x double, velocity_y double>>>>"
 #: Field numbers of the public scenario and track messages.
 SCENARIO_ID, SDC_INDEX, TRACKS, STATES = 5, 6, 2, 3
+#: Features, feature entry, entry value, byte list and value of the public wrapper message.
+WRAPPER_PATH = (1, 1, 2, 1, 1)
 STATE_FIELDS = {2: "center_x", 3: "center_y", 9: "velocity_x", 10: "velocity_y", 11: "valid"}
 
 
@@ -85,16 +87,18 @@ def scenario(data: bytes) -> dict | None:
     return out if out["tracks"] and 0 <= out["sdc_track_index"] < len(out["tracks"]) else None
 
 
-def _byte_values(data: bytes, depth: int = 4) -> Iterator[bytes]:
-    """Byte fields inside a message, outer ones first."""
-    try:
-        inner = [v for _, v in fields(data) if isinstance(v, bytes)]
-    except (ValueError, IndexError, struct.error):
-        return
-    yield from inner
-    if depth:
-        for v in inner:
-            yield from _byte_values(v, depth - 1)
+def _byte_values(data: bytes) -> Iterator[bytes]:
+    """Byte values of a wrapper example, in order."""
+    level = [data]
+    for number in WRAPPER_PATH:
+        inside = []
+        for message in level:
+            try:
+                inside += [v for n, v in fields(message) if n == number and isinstance(v, bytes)]
+            except (ValueError, IndexError, struct.error):
+                continue
+        level = inside
+    yield from level
 
 
 def decode(payload: bytes) -> dict | None:
