@@ -137,7 +137,7 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def arc_stream(pages: DataFrame) -> DataFrame:
-    """key, arc (one ARC stream per page, with its version block): even ids in version 1, others in version 2."""
+    """key, digest (of the payload), arc (one ARC stream per page, with its version block): even ids in version 1, others in version 2."""
     html = F.coalesce(F.col("html"), F.lit(""))
     body = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n\r\n"), html)
     url = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\r\n]", "")
@@ -150,14 +150,14 @@ def arc_stream(pages: DataFrame) -> DataFrame:
         return F.concat(F.lit(head), line, F.lit("\n"), body, F.lit("\n"))
 
     old = F.coalesce(F.col("page_id") % 2 == 0, F.lit(True))
-    return pages.select(F.col("page_id").alias("key"), F.when(old, stream(1, [])).otherwise(stream(2, [F.lit(x) for x in ("200", "-", "-", "0", "pages.arc")])).alias("arc"))
+    return pages.select(F.col("page_id").alias("key"), F.sha1(html.cast("binary")).alias("digest"), F.when(old, stream(1, [])).otherwise(stream(2, [F.lit(x) for x in ("200", "-", "-", "0", "pages.arc")])).alias("arc"))
 
 
 def repeated(payloads: DataFrame, least: int = LEAST) -> DataFrame:
-    """key, repeats from rows (key, bytes, digest): the largest key of the same payload, for keys below it."""
+    """key, digest, repeats from rows (key, bytes, digest): the largest key of the same payload, for keys below it."""
     long = payloads.where(F.col("bytes") >= least).where("key is not null").select("key", "digest")
     top = long.groupBy("digest").agg(F.max("key").alias("repeats"), F.min("key").alias("low")).where("low < repeats").select("digest", "repeats")
-    return long.join(top, "digest").where("key < repeats").groupBy("key").agg(F.max("repeats").alias("repeats"))
+    return long.join(top, "digest").where("key < repeats").groupBy("key", "digest").agg(F.max("repeats").alias("repeats"))
 
 
 def convert(streams: DataFrame) -> DataFrame:
@@ -206,7 +206,7 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     payloads = materialize(pages.select(F.col("page_id").alias("key"), F.octet_length(html).cast("long").alias("bytes"), F.sha1(html).alias("digest")))
     repeats = repeated(payloads)
-    both = arc_stream(pages).join(repeats, "key", "left")
+    both = arc_stream(pages).join(repeats, ["key", "digest"], "left")
     path = shared_dir(spark) + "/warc"
     write_warc(convert(both), path)
     return read_archives(spark, path)
