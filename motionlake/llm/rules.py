@@ -9,7 +9,8 @@ With `risk` the false rejection over all rules together, alpha is risk / rules.
 good labels certifies nothing and rejects nothing.
 
 The certified table has one row per stratum at most, and strata are bounded by the parameters, so
-it is broadcast. Rows of `labels` whose labels contradict each other are left out of the holdout.
+it is broadcast. Rows of `labels` whose labels contradict each other are left out of the holdout. A text counts
+once in a stratum, however many rows or copies of it are labelled: n and k are numbers of different texts.
 
 Null text: no words. Empty table: empty result. Extra columns pass through `measured`.
 """
@@ -37,7 +38,7 @@ PREFIX = "_rule_"
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, each under PREFIX.
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed and the digest `text`, each under PREFIX.
 
     Repeated windows are found inside the row: hashes of the 3-word windows are sorted, and only a text
     in which two neighbours agree is sorted again with positions, to count the words that they cover.
@@ -68,6 +69,7 @@ def measured(docs: DataFrame) -> DataFrame:
         f"{p}n_dup_lines": (F.size(f"{p}lines") - F.size(F.array_distinct(f"{p}lines"))).cast("long"),
     })
     out = out.withColumn(f"{p}base_failed", (F.col(f"{p}n_words") < 50) | (100 * F.col(f"{p}n_repeat_words") > 50 * F.col(f"{p}n_words")))
+    out = out.withColumn(f"{p}text", F.xxhash64(text))
     return out.drop(*(f"{p}{x}" for x in ("words", "lines", "win", "sorted", "twice", "pairs", "hits")))
 
 
@@ -100,13 +102,16 @@ def log_binomial_tail(n: Column, k: Column, p: float) -> Column:
 
 
 def certified(holdout: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """One row per stratum: a cutoff per rule, null where no grid value is certified. holdout: measured good documents."""
+    """One row per stratum: a cutoff per rule, null where no grid value is certified. holdout: measured good documents,
+    of which copies of a text are one trial."""
     rules = list(RULES)
     alpha = risk / len(rules)
     strata = (len(LANGUAGES) + 1) * (len(LENGTH_EDGES) + 1)
     tests = strata * sum(len(RULES[r][1]) for r in rules)
     beyond = [F.sum((_stat(r) > F.lit(c)).cast("long")).alias(f"{r}_{i}") for r in rules for i, c in enumerate(RULES[r][1])]
-    counts = holdout.groupBy(_stratum().alias("_stratum")).agg(F.count("*").alias("_n"), *beyond)
+    stats = [c for c in holdout.columns if c.startswith(PREFIX) and c != f"{PREFIX}text"]
+    texts = holdout.groupBy(_stratum().alias("_stratum"), f"{PREFIX}text").agg(*(F.first(c).alias(c) for c in stats))
+    counts = texts.groupBy("_stratum").agg(F.count("*").alias("_n"), *beyond)
     picked = []
     for r in rules:
         # rejections above the mean n * alpha can't be certified, so the tail is summed up to there only

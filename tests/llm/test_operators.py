@@ -108,6 +108,16 @@ def test_cutoffs_reject_junk_and_spare_good(spark):
     assert all(r["kept"] == (not r["base_failed"]) for r in few)  # nothing is certified on few labels
 
 
+def test_copies_of_a_text_are_one_trial(spark):
+    """100 different good texts and 1,900 labelled copies of a clean one certify nothing."""
+    rng = random.Random(2)
+    clean = [cases.words(rng, 80) for _ in range(101)]
+    rows = [(i, clean[min(i, 100)], "en") for i in range(2000)] + [(2000, "# " + cases.words(rng, 80).replace("w1", "w###"), "en")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(2000)], "doc_id long, quality int, toxic int")
+    out = rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()
+    assert len(out) == 2001 and all(r["kept"] for r in out)
+
+
 # byte-level BPE
 
 
