@@ -4,9 +4,15 @@ Each rule is a statistic of a document and a direction: values above the rule's
 is chosen per rule and stratum (declared languages and "other", by length class) from labelled holdouts:
 it is the strictest value of a fixed grid for which the exact binomial test says that at most `alpha`
 of the good documents are rejected, P(Bin(n, alpha) <= k) <= delta / m, where k of the n good labelled
-documents lie beyond the cutoff and m = strata * rules * grid (Bonferroni over every test made).
-With `risk` the false rejection over all rules together, alpha is risk / rules. A stratum with too few
-good labels certifies nothing and rejects nothing.
+documents lie beyond the cutoff and m = strata * rules (Bonferroni). A grid is tested in a fixed sequence from lenient
+to strict: k only grows along it, so the first failure ends it and its values cost no correction of their own.
+With `risk` the false rejection over all rules together, alpha is risk / rules.
+
+Strata with too few good labels to certify anything are pooled with others: by length class, then with all that
+are left, then with the smallest pool that has enough. Pools follow from the numbers n alone, never from k, and
+each stratum is in one pool, so there are never more tests than m and the risk over all documents holds. In a
+pool of several strata it holds for the pool, not for each stratum. Only where all labels together are too few is
+nothing certified and nothing rejected.
 
 The certified table has one row per stratum at most, and strata are bounded by the parameters, so
 it is broadcast. Rows of `labels` whose labels contradict each other are left out of the holdout. A text counts
@@ -86,6 +92,26 @@ def _stratum() -> Column:
     return F.concat_ws("/", lang, sum(((n >= e).cast("int") for e in LENGTH_EDGES), F.lit(0)).cast("string"))
 
 
+STRATA = [f"{lang}/{n}" for lang in (*LANGUAGES, "other") for n in range(len(LENGTH_EDGES) + 1)]
+
+
+def pooled(sizes: dict[str, int], least: int) -> dict[str, str]:
+    """The pool of each stratum, from numbers of good texts alone: strata of `least` or more stand alone, the smaller
+    ones of a length class go together, and what is too small then joins the smallest pool that isn't."""
+    small = [s for s in STRATA if sizes.get(s, 0) < least]
+    pools = {s: s for s in STRATA} | {s: f"any/{s.split('/')[1]}" for s in small}
+    total: dict[str, int] = {}
+    for s, p in pools.items():
+        total[p] = total.get(p, 0) + sizes.get(s, 0)
+    rest = {p for p, n in total.items() if n < least}
+    enough = sorted((n, p) for p, n in total.items() if p not in rest)
+    if sum(total[p] for p in rest) >= least or not enough:
+        home = "any"
+    else:
+        home = enough[0][1]
+    return {s: home if p in rest else p for s, p in pools.items()}
+
+
 def log_binomial_tail(n: Column, k: Column, p: float) -> Column:
     """ln P(Bin(n, p) <= k), exact up to rounding: terms by their ratios, summed in the log domain."""
     first = n * F.lit(math.log1p(-p))
@@ -106,18 +132,22 @@ def certified(holdout: DataFrame, risk: float = 0.02, delta: float = 0.05) -> Da
     of which copies of a text are one trial."""
     rules = list(RULES)
     alpha = risk / len(rules)
-    strata = (len(LANGUAGES) + 1) * (len(LENGTH_EDGES) + 1)
-    tests = strata * sum(len(RULES[r][1]) for r in rules)
+    level = math.log(delta / (len(STRATA) * len(rules)))
+    least = math.ceil(level / math.log1p(-alpha))  # with fewer texts, not even k = 0 certifies
     beyond = [F.sum((_stat(r) > F.lit(c)).cast("long")).alias(f"{r}_{i}") for r in rules for i, c in enumerate(RULES[r][1])]
     stats = [c for c in holdout.columns if c.startswith(PREFIX) and c != f"{PREFIX}text"]
-    texts = holdout.groupBy(_stratum().alias("_stratum"), f"{PREFIX}text").agg(*(F.first(c).alias(c) for c in stats))
-    counts = texts.groupBy("_stratum").agg(F.count("*").alias("_n"), *beyond)
+    once = lambda by, rows: rows.groupBy(by, f"{PREFIX}text").agg(*(F.first(c).alias(c) for c in stats))
+    texts = materialize(once("_stratum", holdout.withColumn("_stratum", _stratum())))
+    pools = pooled({r["_stratum"]: r["count"] for r in texts.groupBy("_stratum").count().collect()}, least)
+    named = F.create_map(*(F.lit(x) for pair in pools.items() for x in pair))
+    # a text that stands in several strata of a pool counts once there
+    counts = materialize(once("_pool", texts.withColumn("_pool", named[F.col("_stratum")])).groupBy("_pool").agg(F.count("*").alias("_n"), *beyond))
     picked = []
     for r in rules:
         # rejections above the mean n * alpha can't be certified, so the tail is summed up to there only
-        tried = [F.when(F.col(f"{r}_{i}") <= F.col("_n") * alpha, F.when(log_binomial_tail(F.col("_n"), F.col(f"{r}_{i}"), alpha) <= math.log(delta / tests), F.lit(c))) for i, c in enumerate(RULES[r][1])]
+        tried = [F.when(F.col(f"{r}_{i}") <= F.col("_n") * alpha, F.when(log_binomial_tail(F.col("_n"), F.col(f"{r}_{i}"), alpha) <= level, F.lit(c))) for i, c in enumerate(RULES[r][1])]
         picked.append(F.array_min(F.array(*tried)).alias(f"_cut_{r}"))
-    return counts.select("_stratum", *picked)
+    return counts.select(F.explode(F.filter(F.array(*map(F.lit, STRATA)), lambda s: named[s] == F.col("_pool"))).alias("_stratum"), *picked)
 
 
 def judged(measured_docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:

@@ -118,6 +118,25 @@ def test_copies_of_a_text_are_one_trial(spark):
     assert len(out) == 2001 and all(r["kept"] for r in out)
 
 
+def test_small_strata_share_a_cutoff(spark):
+    """1,500 good texts are enough for a pool of strata of which none has enough alone."""
+    rng, langs = random.Random(4), ["de", "en", "es", "fr", None]
+    rows = [(i, cases.words(rng, 80 if i % 3 else 210, 4000), langs[i % 5]) for i in range(1500)]
+    rows += [(1500 + i, cases.words(rng, 80, 4000).replace("w", "##"), langs[i % 5]) for i in range(50)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1500)], "doc_id long, quality int, toxic int")
+    out = rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()
+    assert all(r["kept"] == (r["doc_id"] < 1500) for r in out) and not any(r["base_failed"] for r in out)
+
+
+def test_pools_of_strata():
+    n = {"en/0": 900, "en/1": 60, "de/0": 30, "fr/2": 5}
+    assert set(rules.pooled(n, 100).values()) == {"en/0"}  # too small together: they join the smallest pool
+    assert set(rules.pooled(n, 1000).values()) == {"any"}
+    got = rules.pooled(n | {"de/1": 50, "es/1": 99}, 100)
+    assert got["en/0"] == "en/0" and got["de/1"] == got["es/1"] == got["en/1"] == "any/1" and set(got) == set(rules.STRATA)
+    assert got["fr/2"] == got["de/0"] == "any/1"
+
+
 # byte-level BPE
 
 
