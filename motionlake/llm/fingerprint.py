@@ -6,8 +6,11 @@ two lookups, and the longest common extension from a pair of places is a binary
 
 * fingerprint: the length and the prefix hashes at the quarters of the text. Equal texts have equal
   fingerprints; texts of equal length that differ collide with odds of about 2^-62.
-* likeness of two prefix hashes: longest common extension from the starts plus that from the ends (not
-  counting a character twice), over the longer length. 1 for equal texts, two empty ones included.
+* likeness of two prefix hashes: the characters that agree over the longer length. Those of the longest common
+  extensions from the starts and from the ends agree, and those of every window of WINDOW characters that stands
+  anywhere in the other text, so moved spans count and so does all that lies between edits. Of the two
+  texts' counts the lesser is taken, so that one span can't answer for its many repeats. 1 for equal texts, two
+  empty ones included, and below 1 for all others.
 
 `edited_neighbours` works on documents in descending doc_id, nulls last, ties by text digest. Id ranges
 of bounded bytes are dealt out, each sorted in its task and read as a stream; the first document of each
@@ -32,23 +35,26 @@ from .common import long_array, map_pandas
 
 MODULI = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
-_powers = [np.ones(1, np.uint64) for _ in MODULI]
+#: Characters of the windows that likeness looks for anywhere in the other text.
+WINDOW = 24
+_powers = {s: [np.ones(1, np.uint64) for _ in MODULI] for s in (1, -1)}
 
 
-def powers(k: int, n: int) -> np.ndarray:
-    """Powers 0..n at least of base k, doubled as longer texts come."""
-    while len(_powers[k]) <= n:
-        have = _powers[k]
-        step = np.uint64(pow(BASES[k], len(have), MODULI[k]))
-        _powers[k] = np.concatenate([have, have * step % np.uint64(MODULI[k])])
-    return _powers[k]
+def powers(k: int, n: int, sign: int = 1) -> np.ndarray:
+    """Powers 0..n (or 0..-n) at least of base k, doubled as longer texts come."""
+    known = _powers[sign]
+    while len(known[k]) <= n:
+        have = known[k]
+        step = np.uint64(pow(BASES[k], sign * len(have), MODULI[k]))
+        known[k] = np.concatenate([have, have * step % np.uint64(MODULI[k])])
+    return known[k]
 
 
 class PrefixHash:
     def __init__(self, text: str):
         code = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
         self.n = len(code)
-        self.sums = []
+        self.sums, self._windows = [], None
         for k, m in enumerate(MODULI):
             out = np.zeros(self.n + 1, np.uint64)
             np.cumsum(code * powers(k, self.n)[: self.n] % np.uint64(m), out=out[1:])
@@ -77,13 +83,44 @@ class PrefixHash:
             low, high = (mid, high) if self.spans_equal(i - mid, other, j - mid, mid - low) else (low, mid - 1)
         return low
 
+    def windows(self) -> np.ndarray:
+        """Hashes of all windows of WINDOW characters, moved to power 0; both moduli in one number."""
+        if self._windows is None:
+            n, parts = max(self.n - WINDOW + 1, 0), []
+            for k, m in enumerate(MODULI):
+                s, m = self.sums[k], np.uint64(m)
+                parts.append((s[WINDOW:] + m - s[:n]) % m * powers(k, n, -1)[:n] % m)
+            self._windows = parts[0] << np.uint64(31) | parts[1]
+        return self._windows
+
+    def agreeing(self, other: PrefixHash, front: int, back: int) -> int:
+        """Characters among the first front, the last back, or in a window that other has too."""
+        # windows inside the front or the back add nothing
+        first, last = max(front - WINDOW + 1, 0), max(self.n - max(back, WINDOW - 1), 0)
+        mine, theirs = self.windows()[first:last], other.windows()
+        # a table of low bits leaves few windows to compare in full
+        low = np.uint64((1 << (8 * len(theirs)).bit_length()) - 1)
+        seen = np.zeros(int(low) + 1, bool)
+        seen[theirs & low] = True
+        at = np.flatnonzero(seen[mine & low])
+        at = first + at[np.isin(mine[at], theirs)] if len(at) else at
+        covered = np.zeros(self.n, bool)
+        if len(at):
+            change = np.zeros(self.n + 1, np.int64)
+            change[at] += 1
+            change[at + WINDOW] -= 1
+            covered = np.cumsum(change[:-1]) > 0
+        covered[:front] = True
+        covered[self.n - back :] = True
+        return int(covered.sum())
+
     def likeness(self, other: PrefixHash) -> float:
         longer, shorter = max(self.n, other.n), min(self.n, other.n)
-        if not longer:
-            return 1.0
         front = self.extension(0, other, 0)
+        if front == longer:
+            return 1.0
         back = min(self.extension_back(self.n, other, other.n), shorter - front)
-        return (front + back) / longer
+        return min(self.agreeing(other, front, back), other.agreeing(self, front, back), longer - 1) / longer
 
     def digest(self) -> str:
         """Length, then both hashes at each quarter."""

@@ -243,6 +243,27 @@ def test_span_equality_and_extensions():
     assert fingerprint.PrefixHash("").likeness(fingerprint.PrefixHash("")) == 1
 
 
+def test_likeness_counts_agreement_between_and_out_of_place():
+    rng = random.Random(6)
+    like = lambda a, b: fingerprint.PrefixHash(a).likeness(fingerprint.PrefixHash(b))
+    body, moved = cases.words(rng, 300, 10**6), cases.words(rng, 300, 10**6)
+    assert like("one head\n" + body + "\na foot", "another first line\n" + body + "\nits own footer") > 0.9
+    assert like(body + moved, moved + body) > 0.9 and like(body, moved) < 0.1
+    w = body.split(" ")
+    for k in (40, 150, 260):
+        w[k] = "changed"
+    assert like(body, " ".join(w)) > 0.9
+    assert like(body, body * 5) <= 0.2 and like(body, body) == 1 == like("", "")
+    for a, b in ((body, body[1:]), ("", "a"), ("ab" * 40, "ba" * 40), ("short", "shirt")):
+        assert like(a, b) == like(b, a) < 1
+    for n in (0, 1, 23, 24, 25, 60):  # against plain windows
+        a = "".join(rng.choice("ab") for _ in range(n))
+        b = "x" + a[5:] + "y" + a[:30]
+        x, y = fingerprint.PrefixHash(a), fingerprint.PrefixHash(b)
+        held = {i + k for i in range(n - 23) if a[i : i + 24] in b for k in range(24)}
+        assert x.agreeing(y, 0, 0) == len(held)
+
+
 # classifier
 
 
