@@ -1,7 +1,7 @@
 """Hopping row windows and per-frame signals.
 
-Windows are kept long, one row per window and frame: keys are (scenario_id, start), which `wid` packs,
-so later window functions and aggregates by wid share one shuffle.
+Windows are kept long, one row per window and frame: keys are (scenario_id, start), which `wid` packs
+(see `window_id`), so later window functions and aggregates by wid share one shuffle.
 """
 
 from __future__ import annotations
@@ -17,6 +17,25 @@ def in_order():
     return Window.partitionBy("wid").orderBy("i")
 
 
+#: Starts below PACKED give scenario_id * PACKED + start; the ids of later ones lie below LATE, where none of these do.
+PACKED, LATE = 1_000_000, -(1 << 62)
+
+
+def window_id(scenario_id: Column, start: Column) -> Column:
+    """One number per (scenario_id, start), different for all windows; an error where a number has no room."""
+    early = F.when(scenario_id >= -(-LATE // PACKED), scenario_id * PACKED + start)
+    fits = (scenario_id >= -(1 << 29)) & (scenario_id < 1 << 29) & (start < 1 << 32)
+    late = F.lit(LATE) - 1 - (scenario_id.cast("bigint") + (1 << 29)) * (1 << 32) - start
+    error = F.raise_error(F.concat(F.lit("no window id for scenario "), scenario_id.cast("string"), F.lit(", start "), start.cast("string"))).cast("bigint")
+    return F.coalesce(F.when(start < PACKED, early).when(fits, late), F.when(scenario_id.isNotNull(), error))
+
+
+def scenario_of(wid: Column) -> Column:
+    """The scenario of a window id."""
+    late = F.call_function("div", -(wid - LATE) - 1, F.lit(1 << 32)) - (1 << 29)
+    return F.when(wid < LATE, late).otherwise(F.call_function("div", wid, F.lit(PACKED)))
+
+
 def sliding(aligned: DataFrame, length: int = 80, stride: int = 20) -> DataFrame:
     """wid, scenario_id, start, i and the frames of each full window. A frame goes to the windows that hold it,
     found from its own number: no join."""
@@ -25,7 +44,7 @@ def sliding(aligned: DataFrame, length: int = 80, stride: int = 20) -> DataFrame
     final = F.floor(F.least(F.col("k"), F.col("last")) / stride).cast("bigint")
     rows = aligned.withColumn("last", last).where("last >= 0").withColumns({"a": first, "b": final}).where("a <= b")
     rows = rows.withColumn("start", F.explode(F.transform(F.sequence("a", "b"), lambda s: s * stride)))
-    return rows.select((F.col("scenario_id") * 1_000_000 + F.col("start")).alias("wid"), "scenario_id", "start", (F.col("k") - F.col("start")).alias("i"), "front_id", "x", "y", "vx", "vy", "fx", "fy", "fvx", "fvy")
+    return rows.select(window_id(F.col("scenario_id"), F.col("start")).alias("wid"), "scenario_id", "start", (F.col("k") - F.col("start")).alias("i"), "front_id", "x", "y", "vx", "vy", "fx", "fy", "fvx", "fvy")
 
 
 def window_rows(windows: DataFrame) -> DataFrame:

@@ -167,7 +167,7 @@ def signal_summary(spark, d):
 @query("minmax_fingerprint", f"""WITH {_SIGNALS}, s AS (SELECT wid // 1000000 AS scenario_id, wid, avg(speed) AS mean_speed, sqrt(avg(jerk * jerk)) AS rms_jerk, min(thw) AS min_thw FROM signals GROUP BY wid)
     SELECT scenario_id, wid, {', '.join(f'CASE WHEN max({c}) OVER w - min({c}) OVER w > 1e-8 THEN ({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) ELSE 0 END AS {c}' for c in ('mean_speed', 'rms_jerk', 'min_thw'))} FROM s WINDOW w AS (PARTITION BY scenario_id)""", "mean_speed rms_jerk min_thw")
 def minmax_fingerprint(spark, d):
-    s = windows.signal_summary(windows.replay_signals(_windows(spark, d))).select(F.expr("wid div 1000000").alias("scenario_id"), "wid", "mean_speed", "rms_jerk", "min_thw")
+    s = windows.signal_summary(windows.replay_signals(_windows(spark, d))).select(windows.scenario_of(F.col("wid")).alias("scenario_id"), "wid", "mean_speed", "rms_jerk", "min_thw")
     return evaluate.minmax(s, ["mean_speed", "rms_jerk", "min_thw"], "scenario_id")
 
 
@@ -425,7 +425,7 @@ def cond_knn_join(spark, d):
 @query("cond_fallback", f"""WITH {sql.CONDITIONS}, c AS (SELECT wid AS row_index, wid // 1000000 // 10 AS scope, * FROM cond), g AS (SELECT a.row_index AS i, b.row_index AS j FROM c a JOIN c b ON a.row_index <> b.row_index AND a.scope = b.scope AND a.bucket = b.bucket AND abs(a.speed_mean - b.speed_mean) <= 0.5 AND abs(a.dist_mean - b.dist_mean) <= 5 AND abs(a.vrel_mean - b.vrel_mean) <= 1),
     n AS (SELECT i, count(*) AS n FROM g GROUP BY i HAVING count(*) >= 8) SELECT c.row_index AS i, n.i IS NULL AS fallback, coalesce(n.n, (SELECT count(*) FROM c y WHERE y.scope = c.scope AND y.row_index <> c.row_index)) AS n_candidates FROM c LEFT JOIN n ON n.i = c.row_index""")
 def cond_fallback(spark, d):
-    cond = features.conditions(_kin(spark, d)).withColumn("scope", F.expr("wid div 1000000 div 10"))
+    cond = features.conditions(_kin(spark, d)).withColumn("scope", F.call_function("div", windows.scenario_of(F.col("wid")), F.lit(10)))
     rows = cond.select("scope", F.col("wid").alias("row_index"))
     box = pairs.box_pairs(cond, speed=0.5).where(F.expr("i div 1000000 div 10") == F.expr("j div 1000000 div 10"))
     gated = pairs.with_fallback(box, rows, 8).groupBy("i", "fallback").agg(F.count("*").alias("n_candidates"))

@@ -313,3 +313,15 @@ def test_scalar_edges(evaluated):
     assert evaluated([1.0, -3.0, float("nan"), 500.0], lambda c: scalar.sanitized_gap(c, log=False)) == [None, None, None, 200.0]
     with pytest.raises(ValueError):
         scalar.split_of(F.lit("a"), (0.5, 0.1, 0.1))
+
+
+def test_late_windows_of_a_long_scenario_stay_apart(spark):
+    """Scenario 1 at frame 1,000,000 and scenario 2 at frame 0 are two windows."""
+    names = ("x", "y", "vx", "vy", "fx", "fy", "fvx", "fvy")
+    long = spark.range(1_000_040).select(F.lit(1).cast("long").alias("scenario_id"), F.col("id").alias("k"))
+    both = long.unionByName(spark.range(40).select(F.lit(2).cast("long").alias("scenario_id"), F.col("id").alias("k")))
+    frames = both.select("*", F.lit(7).cast("long").alias("front_id"), *(F.lit(1.0).alias(c) for c in names))
+    cut = windows.sliding(frames, 40, 500_000)
+    got = cut.groupBy("wid", windows.scenario_of(F.col("wid")).alias("s")).agg(F.count("*").alias("n"), F.min("scenario_id").alias("low"), F.max("scenario_id").alias("high"), F.max("start").alias("start")).collect()
+    assert sorted((r["s"], r["low"], r["high"], r["start"], r["n"]) for r in got) == [(1, 1, 1, 0, 40), (1, 1, 1, 500_000, 40), (1, 1, 1, 1_000_000, 40), (2, 2, 2, 0, 40)]
+    assert {r["wid"] for r in got} >= {1_000_000, 1_500_000, 2_000_000}
