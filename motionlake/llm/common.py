@@ -19,9 +19,12 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a local one only where none is set."""
+    """A new folder in spark.checkpoint.dir, which all executors share. Only where the session runs in one process may it be unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), "checkpoints")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -32,7 +35,18 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_stored_at"] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables, once everything made of them is materialized itself."""
+    for df in tables:
+        if path := df.__dict__.get("_stored_at"):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,8 +73,15 @@ def long_array(values: list[int]) -> Column:
     return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
 
 
+#: Rows and bytes of an Arrow batch: texts are held as a batch by the JVM and, twice, by the worker.
+BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
+
+
 def map_pandas(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """mapInPandas with this package on the workers' path. Frames without rows are left out: pandas
-    gives their text columns no chunks, which Arrow can't take."""
-    ship_package(df.sparkSession)
+    """mapInPandas with this package on the workers' path, in batches of bounded bytes, which holds for the session
+    from then on. Frames without rows are left out: pandas gives their text columns no chunks, which Arrow can't take."""
+    spark = df.sparkSession
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInPandas(lambda batches: (made for made in run(batches) if len(made)), schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -26,6 +26,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.join(small_low, "u")
         new = materialize(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         same = new.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first() == edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
+        discard(large, edges)
         edges = new
         if same:
             break

@@ -10,9 +10,10 @@ shingle. Equal sets are one node of the join from the start, so groups of copies
 * `trees` independent trees are made. A pair at similarity s shares a leaf at level d of one tree with odds s^d,
   so of pairs at 0.85, the share missed is 0.15^12 < 2e-10 where nodes are small at once, and
   (1 - 0.85^3)^12 < 2e-5 where all three levels are needed.
-* A node still larger at the last level is dealt into blocks of `leaf` sets, each compared exhaustively. Then every
-  member that isn't yet in the node's largest component is compared with all members: pairs inside one
-  component can't change a component, and all other pairs of the node are looked at. No cap, no loss.
+* A node still larger at the last level is dealt into blocks of about `leaf` sets, each with some pivots of the node.
+  Their links join what is one component for the most part. Then every member of such nodes gives its prefix,
+  its rarest tokens, of which two sets at the threshold share one at least; by these tokens, pairs that
+  aren't yet in one component meet. No pair inside a component is made, and no other pair of the nodes is lost.
 * Links are confirmed on full sets, made again from the whole texts; a leaf gives a spanning forest
   of its links, never all pairs. Leaves with the same members in several trees are compared once.
 
@@ -32,9 +33,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_pandas, materialize
+from .common import WORD, discard, map_pandas, materialize
 from .components import components
 
+#: Buckets of token counts that order prefixes; giant nodes in whose blocks a set stands; pivots of a giant node.
+BUCKETS, MERGES, PIVOTS = 1 << 18, 3, 8
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _SHIFT = np.uint64(31)
 
@@ -136,12 +139,17 @@ def _forest(members: list[dict], percent: int) -> list[tuple[bytes, bytes]]:
     return out
 
 
+def _texts(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (sid, ...) with the text of each set's representative, as often as its row stands in docs."""
+    own = wanted.join(reps.select("sid", "doc", F.col("digest").alias("_digest")), "sid")
+    texts = docs.select("doc_id", "text").withColumn("digest", F.xxhash64("text"))
+    return texts.join(own, texts["doc_id"].eqNullSafe(own["doc"]) & (texts["digest"] == own["_digest"])).select("text", *wanted.columns)
+
+
 def _compared(places: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """a, b: confirmed links inside each leaf. places: rows (leaf, sid, side, label)."""
     sets = places.groupBy("sid").agg(F.collect_list(F.struct("leaf", "side", "label")).alias("at"))
-    wanted = sets.join(reps.select("sid", "doc", "digest"), "sid").withColumnRenamed("digest", "_digest")
-    texts = docs.select("doc_id", "text").withColumn("digest", F.xxhash64("text"))
-    found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc"]) & (texts["digest"] == wanted["_digest"])).select("sid", "text", F.explode("at").alias("x"))
+    found = _texts(docs, reps, sets).select("sid", "text", F.explode("at").alias("x"))
     dealt = found.select("x.leaf", "x.side", "x.label", "sid", "text").repartition("leaf").sortWithinPartitions("leaf", "sid")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,32 +167,107 @@ def _compared(places: DataFrame, reps: DataFrame, docs: DataFrame, percent: int)
     return map_pandas(dealt, run, "a binary, b binary")
 
 
-def _members(rows: DataFrame, column: str) -> DataFrame:
-    """rows with n, the number of sets in their node; rows alone in a node go."""
-    counts = rows.groupBy(column).agg(F.count("*").alias("n")).where("n > 1")
-    return rows.join(counts, column)
+def _dealt(giants: DataFrame, leaf: int) -> DataFrame:
+    """Rows (node, sid): members of giant nodes in blocks of about `leaf`, with some pivots of the node in each block,
+    so that the links of one node's blocks meet. A set is dealt in MERGES of its nodes at most."""
+    few = giants.groupBy("sid").agg(F.slice(F.array_sort(F.collect_list(F.struct("tree", "node", "n"))), 1, MERGES).alias("at"))
+    rows = few.select("sid", F.explode("at").alias("x")).select("sid", "x.node", "x.n")
+    own = lambda salt, n: F.pmod(F.xxhash64("sid", "node", F.lit(salt)), n)
+    blocks = F.ceil(F.col("n") / leaf)
+    every = F.sequence(F.lit(0).cast("long"), blocks - 1)
+    into = F.when(own(1, F.ceil(F.col("n") / PIVOTS)) == 0, every).otherwise(F.array(own(2, blocks)))
+    return rows.select("node", "sid", F.explode(into).alias("block")).select(F.xxhash64("node", "block").alias("node"), "sid")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 12, depth: int = 3, leaf: int = 64) -> DataFrame:
-    """doc_id, digest (of the text), n_shingles, component_id, kept for every row of docs."""
+def _prefixes(texts: DataFrame, percent: int) -> DataFrame:
+    """token, sid, label, size, pos: the tokens of which two sets at the threshold share one at least.
+
+    Tokens stand in one order for all sets. The first size - ceil(size * percent / 100) + 1 of each set are a prefix;
+    sets that share none are below the threshold whatever the order is. Rare tokens come first, by counts in buckets
+    over every eighth set: they only make prefixes meet less often.
+    """
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            tokens = np.concatenate([np.zeros(0, np.uint64), *map(shingle_set, batch["text"])])
+            bucket, k = np.unique(tokens % np.uint64(BUCKETS), return_counts=True)
+            yield pd.DataFrame({"bucket": bucket.astype(np.int64), "k": k.astype(np.int64)})
+
+    eighth = texts.where(F.pmod(F.xxhash64("sid"), F.lit(8)) == 0).select("text")
+    sums = map_pandas(eighth, counted, "bucket long, k long").groupBy("bucket").agg(F.sum("k").alias("k")).where("k > 1").toArrow()
+    common = np.zeros(BUCKETS, np.int32)
+    common[sums["bucket"].to_numpy()] = np.minimum(sums["k"].to_numpy(), 2**31 - 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            firsts, sizes = [], []
+            for text in batch["text"]:
+                s = shingle_set(text)
+                n = len(s) + percent * len(s) // -100 + 1
+                firsts.append(s[np.argsort(common[s % np.uint64(BUCKETS)], kind="stable")[:n]])
+                sizes.append(len(s))
+            per = [len(x) for x in firsts]
+            own = batch[["sid", "label"]].assign(size=sizes).loc[np.repeat(batch.index.to_numpy(), per)].reset_index(drop=True)
+            yield own.assign(token=np.concatenate(firsts).view(np.int64), pos=np.concatenate([np.arange(n, dtype=np.int32) for n in per]))[["token", "sid", "label", "size", "pos"]]
+
+    return map_pandas(texts, run, "token long, sid binary, label binary, size int, pos int")
+
+
+def _stars(giants: DataFrame, named: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, leaf: int) -> DataFrame | None:
+    """Rows (leaf, sid, side, label) of what is left to compare among members of giant nodes, or None.
+
+    Of a pair in two components, both prefixes hold its first common token. Of each token, the sets outside the
+    token's largest component meet all sets with other labels; sets inside it never meet each other. Lengths and the
+    places of the token drop pairs that can't reach the threshold. A set with its partners is a star, cut into leaves.
+    """
+    labels = giants.select("node", "sid").join(named.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("component", "sid"))
+    mixed = materialize(labels.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("node"))
+    rest = materialize(labels.join(mixed, "node", "left_semi").select("sid", "label").distinct())
+    if rest.isEmpty():
+        return None
+    texts = materialize(_texts(docs, reps, rest).dropDuplicates(["sid"]))
+    rows = materialize(_prefixes(texts, percent))
+    shares = rows.groupBy("token", "label").agg(F.count("*").alias("k"))
+    top = shares.groupBy("token").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("n")).where("top.k < n")
+    rows = materialize(rows.join(materialize(top.select("token", F.col("top.label").alias("main"))), "token"))
+    a, b = (rows.select("token", "main", *(F.col(c).alias(f"{c}_{x}") for c in ("sid", "label", "size", "pos"))) for x in "ab")
+    b = b.withColumnsRenamed({"token": "_token", "main": "_main"})
+    together = F.col("size_a") + F.col("size_b")
+    shared = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
+    near = (shared * (100 + percent) >= percent * together) & (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
+    once = (F.col("label_b") == F.col("main")) | (F.col("sid_a") < F.col("sid_b"))
+    met = a.where("label_a <> main").join(b, (F.col("token") == F.col("_token")) & (F.col("label_a") != F.col("label_b")) & once & near)
+    pairs = materialize(met.select("sid_a", "label_a", "sid_b", "label_b").distinct())
+    many = materialize(pairs.groupBy("sid_a").agg(F.ceil(F.count("*") / (4 * leaf)).alias("chunks")))
+    placed = pairs.join(many, "sid_a").withColumn("leaf", F.xxhash64("sid_a", F.pmod(F.xxhash64("sid_b"), F.col("chunks"))))
+    side = lambda x, own: placed.select("leaf", F.col(f"sid_{x}").alias("sid"), F.lit(own).alias("side"), F.col(f"label_{x}").alias("label"))
+    stars = materialize(side("a", True).distinct().unionByName(side("b", False)))
+    discard(mixed, rest, texts, rows, pairs, many)
+    return None if stars.isEmpty() else stars
+
+
+def _classes(docs: DataFrame, percent: int, trees: int, depth: int, leaf: int) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all rows; and sid, doc, digest, label for every different set: its first document and its component."""
     sketched = materialize(sketches(docs, trees, depth))
-    some = sketched.where("sid is not null")
-    reps = materialize(some.groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "digest")).alias("r"), F.first("paths").alias("paths")).select("sid", F.col("r.doc_id").alias("doc"), F.col("r.digest").alias("digest"), "paths"))
-    step = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.get("paths", t * depth))
-    todo = reps.select("sid", F.posexplode(step).alias("tree", "node"))
-    places, giants = [], None
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "digest")).alias("r")
+    reps = materialize(sketched.where("sid is not null").groupBy("sid").agg(first, F.first("paths").alias("paths")).select("sid", F.col("r.doc_id").alias("doc"), F.col("r.digest").alias("digest"), "paths"))
+    path = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.slice("paths", t * depth + 1, depth))
+    todo = reps.select("sid", F.posexplode(path).alias("tree", "path"))
+    places, giants, done = [], None, []
     for d in range(depth):
-        found = materialize(_members(todo, "node"))
+        todo = todo.withColumn("node", F.get("path", F.lit(d)))
+        counts = materialize(todo.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"))
+        found = materialize(todo.join(counts, "node"))
+        done += [counts, found]
         places.append(found.where(F.col("n") <= leaf).select("node", "sid"))
-        large = found.where(F.col("n") > leaf)
-        if large.isEmpty():
+        todo = found.where(F.col("n") > leaf).select("sid", "tree", "path", "node", "n")
+        if todo.isEmpty():
             break
         if d + 1 == depth:
-            giants = large
-            blocks = F.ceil(F.col("n") / leaf)
-            places.append(large.select(F.xxhash64("node", F.pmod(F.xxhash64("sid", "node"), blocks)).alias("node"), "sid"))
+            giants = todo
+            places.append(_dealt(giants, leaf))
         else:
-            todo = large.select("sid", "tree").join(reps.select("sid", "paths"), "sid").select("sid", "tree", F.get("paths", F.col("tree") * depth + d + 1).alias("node"))
+            todo = todo.select("sid", "tree", "path")
     at = places[0]
     for p in places[1:]:
         at = at.unionByName(p)
@@ -194,44 +277,40 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 12, depth:
     at = at.join(chosen, "node", "left_semi").select(F.col("node").alias("leaf"), "sid", F.lit(True).alias("side"), F.lit(None).cast("binary").alias("label"))
     links = materialize(_compared(at, reps, docs, percent))
     named = materialize(components(links))
-    if giants is not None:
-        more = materialize(_compared(_left_over(giants, named, leaf), reps, docs, percent))
+    stars = _stars(giants, named, reps, docs, percent, leaf) if giants is not None else None
+    if stars is not None:
+        more = materialize(_compared(stars, reps, docs, percent))
         if not more.isEmpty():
             named = materialize(components(links.unionByName(more)))
-    label = reps.select("sid", "doc").join(named.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "doc", F.coalesce("component", "sid").alias("label"))
-    least = label.groupBy("label").agg(F.min("doc").alias("component_id"))
-    names = label.join(least, "label").select("sid", "component_id")
+        discard(stars, more)
+    discard(*done, links)
+    classes = reps.select("sid", "doc", "digest").join(named.withColumnRenamed("node", "sid"), "sid", "left")
+    return sketched, classes.select("sid", "doc", "digest", F.coalesce("component", "sid").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 12, depth: int = 3, leaf: int = 64) -> DataFrame:
+    """doc_id, digest (of the text), n_shingles, component_id, kept for every row of docs."""
+    sketched, classes = _classes(docs, percent, trees, depth, leaf)
+    least = classes.groupBy("label").agg(F.min("doc").alias("component_id"))
+    names = materialize(classes.join(least, "label").select("sid", "component_id"))
     # documents without shingles stay aside: a join would send them all to the partition of the null key
-    joined = some.join(names, "sid").select("doc_id", "digest", "n_shingles", "component_id")
+    joined = sketched.where("sid is not null").join(names, "sid").select("doc_id", "digest", "n_shingles", "component_id")
     alone = sketched.where("sid is null").select("doc_id", "digest", "n_shingles", F.col("doc_id").alias("component_id"))
     return joined.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _left_over(giants: DataFrame, named: DataFrame, leaf: int) -> DataFrame:
-    """Rows (leaf, sid, side, label): members of giant nodes outside the node's largest component, in blocks,
-    against blocks of all members. Nodes of several trees with one largest component are taken together,
-    since their members are nearly the same."""
-    rows = giants.select("node", "sid").join(named.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("component", "sid"))
-    shares = rows.groupBy("node", "label").agg(F.count("*").alias("k"))
-    top = shares.groupBy("node").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("all"))
-    top = top.where(F.col("top.k") < F.col("all")).select("node", F.col("top.label").alias("main"))
-    rows = materialize(rows.join(top, "node").groupBy("main", "sid", "label").count().drop("count"))
-    per = rows.groupBy("main").agg(F.ceil(F.count_if(F.col("label") != F.col("main")) / leaf).alias("r_blocks"), F.ceil(F.count("*") / (4 * leaf)).alias("m_blocks"))
-    rows = rows.join(per, "main")
-    own = lambda n, salt: F.pmod(F.xxhash64("sid", F.lit(salt)), n)
-    steps = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    residual = rows.where("label <> main").withColumn("r", own(F.col("r_blocks"), 1)).withColumn("m", steps("m_blocks")).withColumn("side", F.lit(True))
-    every = rows.withColumn("m", own(F.col("m_blocks"), 2)).withColumn("r", steps("r_blocks")).withColumn("side", F.lit(False))
-    both = residual.select("main", "r", "m", "sid", "side", "label").unionByName(every.select("main", "r", "m", "sid", "side", "label"))
-    return both.select(F.xxhash64("main", "r", "m").alias("leaf"), "sid", "side", "label")
-
-
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay: one document of each group, with the columns of docs."""
-    verdict = near_duplicates(docs, **options).groupBy("doc_id", "digest").agg(F.max("kept").alias("_kept"), F.count("*").alias("_times"))
-    verdict = materialize(verdict.where("_kept").select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), "_times"))
+def one_of_each(docs: DataFrame, percent: int = 85, trees: int = 12, depth: int = 3, leaf: int = 64) -> DataFrame:
+    """The rows of docs that stay, with the columns of docs: of each group the row that is first by doc_id (nulls last),
+    then by text digest, and once if it is repeated. Rows without a word are in no group and stay."""
+    sketched, classes = _classes(docs, percent, trees, depth, leaf)
+    heads = classes.groupBy("label").agg(F.min(F.struct(F.col("doc").isNull().alias("no"), "doc", "digest")).alias("h"))
+    heads = heads.select(F.col("h.doc").alias("_doc"), F.col("h.digest").alias("_digest"))
+    times = sketched.groupBy(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")).agg(F.count("*").alias("_times"))
+    same = [F.col("_doc").eqNullSafe(F.col("_doc2")), F.col("_digest") == F.col("_digest2")]
+    heads = materialize(heads.join(times.withColumnsRenamed({"_doc": "_doc2", "_digest": "_digest2"}), same).select("_doc", "_digest", "_times"))
     own = docs.withColumn("_own", F.xxhash64("text"))
-    out = own.join(verdict, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_digest")))
-    if not verdict.where("_times > 1").isEmpty():  # repeated rows: one of them
+    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    out = own.where(~blank).join(heads, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_digest")))
+    if not heads.where("_times > 1").isEmpty():  # repeated rows: one of them
         out = out.where("_times = 1").unionByName(out.where("_times > 1").dropDuplicates(["_doc", "_digest"]))
-    return out.select(*docs.columns)
+    return out.select(*docs.columns).unionByName(docs.where(blank))

@@ -482,6 +482,48 @@ def test_large_groups_of_near_copies(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def unlike(n, common=70, own=30, seed=3):
+    """Documents that share most of their words, and no pair of them at the threshold."""
+    rng = random.Random(seed)
+    head = [f"h{rng.randrange(10**6)}" for _ in range(common * 3)]
+    return [(i, " ".join(head + [f"o{rng.randrange(10**9)}" for _ in range(own * 3)])) for i in range(n)]
+
+
+def test_unlike_documents_of_one_node_meet_seldom(spark, monkeypatch):
+    met = []
+    compared = neardup._compared
+    monkeypatch.setattr(neardup, "_compared", lambda places, *a: met.append(places.count()) or compared(places, *a))
+    for n in (300, 600):
+        met.append(0)
+        out = neardup.near_duplicates(spark.createDataFrame(unlike(n), "doc_id long, text string"), leaf=16).collect()
+        assert len(out) == n and all(r["kept"] for r in out)
+    small, large = sum(met[: met.index(0, 1)]), sum(met[met.index(0, 1) :])
+    assert 0 < large <= 3 * small
+
+
+def test_residual_pairs_of_a_giant_node_are_found(spark):
+    """Among many unlike documents of one node, planted pairs at and just below the threshold, by the exact pass alone."""
+    rng = random.Random(4)
+    rows = unlike(200)
+    for i in range(0, 40, 2):  # at most 5 shingles go with each changed word
+        w = rows[i][1].split(" ")
+        for k in rng.sample(range(5, len(w) - 5), 2 + i // 8):
+            w[k] = f"z{rng.randrange(10**9)}"
+        rows[i + 1] = (i + 1, " ".join(w))
+    _, comp = plain_near(rows, 85)
+    assert 5 < sum(k != c for k, c in comp.items()) < 20
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), trees=4, depth=1, leaf=4).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {rows[k][0]: rows[c][0] for k, c in comp.items()}
+
+
+def test_one_of_each_with_equal_ids(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, text), (1, text + " end"), (1, text), (None, text.upper()), (None, text + " other"), (7, text), (8, None), (9, " "), (9, " "), (None, "alone"), (None, "alone")]
+    left = cases.rows_of(neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert len([x for x in left if x[1] and x[1].startswith("w")]) == 1
+    assert Counter(left)[(None, "alone")] == 1 and Counter(left)[(9, " ")] == 2 and (8, None) in left
+
+
 def test_one_of_each_group_stays(both):
     rows = cases.rows_of(both)
     _, comp = plain_near(rows, 80)
