@@ -1,17 +1,22 @@
 """Line dedup by a segment-partition edit join.
 
-A line (between line feeds) with a word repeats an earlier one if both are equal, or if both have `least`
-characters or more and an edit distance of at most `threshold` (insertions, deletions, substitutions of code
-points). Classes are the components of that relation; of each class the first line in the order (doc_id,
+A line (between line feeds) with a word repeats an earlier one if both are equal, or if their edit distance
+(insertions, deletions, substitutions of code points) is at most one for each `per_edit` characters of the
+shorter line, and at most `threshold`: one edit from 20 characters on and two from 40 on; shorter lines repeat only if
+equal. Classes are the components of that relation; of each class the first line in the order (doc_id,
 text digest, position) stays, all others go. Blank lines stay.
 
 * Equal lines are one node: an aggregate by a 128-bit digest, which combines before its shuffle.
-* Segments: a line of length n is cut into threshold + 1 even segments. A line within the threshold
+* Segments: a line of length n that allows t edits is cut into t + 1 even segments. A line within t edits
   keeps at least one segment whole, at a place that differs by few characters. So every line is indexed
-  under (its length, segment number, segment), and probes the lengths n - threshold .. n with the
-  substrings that the match-aware window allows: 12 for a threshold of 2.
+  under (its length, segment number, segment), and probes the lengths n - t .. n with the
+  substrings that the match-aware window allows: 12 for t = 2.
 * Candidates meet in an equi-join on the hashed key. The join's condition also compares parities of
   character counts in 64 classes: an edit changes at most two, so no pair within the threshold is lost.
+* A key of more than HEAVY index entries doesn't meet its probes. What is left of each of its lines without the segment
+  is cut into t + 1 segments in turn, of which one is whole again, and so on for LEVELS levels: lines that share a
+  part meet only if they share more, and no pair is lost. Keys still heavy at the last level are joined as they
+  are; their lines agree in all but a ninth or so.
 * Candidates are confirmed on the lines themselves by a banded bit-parallel edit distance. Their texts
   are fetched by a broadcast of the candidates' ids while these are few (`BROADCAST_IDS`), and by a shuffle
   join beyond.
@@ -31,10 +36,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, map_pandas, materialize
+from .common import WORD, discard, map_pandas, materialize
 from .components import components
 
-THRESHOLD, LEAST = 2, 20
+THRESHOLD, PER_EDIT = 2, 20
+#: Index entries beyond which a key is heavy, and how often heavy keys are refined.
+HEAVY, LEVELS = 64, 4
 BROADCAST_IDS = 2_000_000
 #: Characters of lines whose keys are made at once, and lines that a task remembers.
 CHUNK, SEEN = 1_000_000, 300_000
@@ -52,15 +59,23 @@ def segments(n: int, threshold: int) -> list[tuple[int, int]]:
     return out
 
 
-def probes(n: int, threshold: int) -> list[tuple[int, int, int, int]]:
+def windows(n: int, length: int, threshold: int) -> list[tuple[int, int, int]]:
+    """Segment, start and size of the substrings that a line of n characters looks up among lines of `length`, which is no more."""
+    more, out = n - length, []
+    for i, (at, size) in enumerate(segments(length, threshold)):
+        rest = threshold - i  # errors right of the segment; i errors left of it
+        low, high = max(at - i, at + more - rest, 0), min(at + i, at + more + rest, n - size)
+        out += [(i, p, size) for p in range(low, high + 1)]
+    return out
+
+
+def probes(n: int, threshold: int, per_edit: int = 1) -> list[tuple[int, int, int, int]]:
     """(indexed length, segment, start, size) of the substrings that a line of n characters looks up."""
     out = []
-    for length in range(max(n - threshold, threshold + 1), n + 1):
-        more = n - length
-        for i, (at, size) in enumerate(segments(length, threshold)):
-            rest = threshold - i  # errors right of the segment; i errors left of it
-            low, high = max(at - i, at + more - rest, 0), min(at + i, at + more + rest, n - size)
-            out += [(length, i, p, size) for p in range(low, high + 1)]
+    for length in range(max(n - threshold, 1), n + 1):
+        t = min(threshold, length // per_edit)
+        if 0 < t < length and n - length <= t:
+            out += [(length, *w) for w in windows(n, length, t)]
     return out
 
 
@@ -120,16 +135,27 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return at.where(_has_word(F.col("line"))).select("doc_id", "digest", "pos", F.unhex(F.md5(F.col("line").cast("binary"))).alias("line_id"))
 
 
-def _keys(docs: DataFrame, threshold: int, least: int, probing: bool) -> DataFrame:
-    """key, id, n, parity: index entries or probes of each long line, once per task and line."""
-    windows: dict[int, list] = {}
+def _places(threshold: int, per_edit: int, probing: bool):
+    """A function of a line's length: (indexed length, segment, start, size) of its index entries or probes."""
+    known: dict[int, list] = {}
 
     def places(n: int) -> list:
-        if n not in windows:
-            windows[n] = probes(n, threshold) if probing else [(n, i, at, size) for i, (at, size) in enumerate(segments(n, threshold))]
-        return windows[n]
+        if n not in known:
+            t = min(threshold, n // per_edit)
+            known[n] = probes(n, threshold, per_edit) if probing else [(n, i, at, size) for i, (at, size) in enumerate(segments(n, t))] if 0 < t < n else []
+        return known[n]
+
+    return places
+
+
+def _key(part: str, length: int, i: int) -> int:
+    return xxhash.xxh3_64_intdigest(part.encode(), length << 6 | i)
+
 
-    def entries(lines: list[str], ids: list[int]) -> pd.DataFrame:
+def _keys(docs: DataFrame, threshold: int, per_edit: int, probing: bool) -> DataFrame:
+    """key, id, n, parity: index entries or probes of each line that allows an edit, once per task and line."""
+
+    def entries(lines: list[str], ids: list[int], places) -> pd.DataFrame:
         digest, sizes = xxhash.xxh3_64_intdigest, [len(x) for x in lines]
         keys, per = [], []
         for line, n in zip(lines, sizes, strict=True):
@@ -143,13 +169,13 @@ def _keys(docs: DataFrame, threshold: int, least: int, probing: bool) -> DataFra
         return pd.DataFrame({"key": np.array(keys, np.uint64).view(np.int64), "id": np.array(ids, np.uint64).view(np.int64)[own], "n": np.array(sizes, np.int32)[own], "parity": packed[own]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        digest = xxhash.xxh3_64_intdigest
+        digest, places = xxhash.xxh3_64_intdigest, _places(threshold, per_edit, probing)
         seen: set[int] = set()
         lines, ids, room = [], [], CHUNK
         for batch in batches:
             for text in batch["text"]:
                 for line in (text or "").split("\n"):
-                    if len(line) >= least:
+                    if len(line) >= per_edit and places(len(line)):
                         h = digest(line.encode())
                         if h not in seen:
                             seen.add(h)
@@ -157,78 +183,142 @@ def _keys(docs: DataFrame, threshold: int, least: int, probing: bool) -> DataFra
                             ids.append(h)
                             room -= len(line)
                 if room < 0:
-                    yield entries(lines, ids)
+                    yield entries(lines, ids, places)
                     lines, ids, room = [], [], CHUNK
                     if len(seen) > SEEN:
                         seen.clear()
         if lines:
-            yield entries(lines, ids)
+            yield entries(lines, ids, places)
 
     return map_pandas(docs.select("text"), run, "key long, id long, n int, parity long")
 
 
-def candidates(docs: DataFrame, threshold: int, least: int) -> DataFrame:
-    """a, b: ids of different lines that share a segment and nearly all parities."""
-    index = _keys(docs, threshold, least, False).withColumnsRenamed({"id": "a", "n": "a_n", "parity": "a_parity"})
-    probe = _keys(docs, threshold, least, True).withColumnsRenamed({"id": "b", "n": "b_n", "parity": "b_parity"})
-    near = F.bit_count(F.col("a_parity").bitwiseXOR(F.col("b_parity"))) <= 2 * threshold
-    # of two lines with one length, the larger id probes the smaller
-    once = (F.col("a_n") < F.col("b_n")) | (F.col("a") < F.col("b"))
-    met = index.join(probe.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & (F.col("a") != F.col("b")) & once & near)
-    return met.select("a", "b").distinct()
-
+def _finer(rows: DataFrame, threshold: int, per_edit: int, probing: bool) -> DataFrame:
+    """Keys of what is left of each line. rows: key, id, n, parity, length, cuts, line; without cuts, the segment that
+    made the key is looked up in the line. cuts: start and size of each segment taken out so far."""
 
-def links(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
-    """a, b: line ids (128-bit digests) of different lines within the threshold."""
-    pairs = materialize(candidates(docs, threshold, least))
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    n = wanted.count()
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        places = _places(threshold, per_edit, probing)
+        for batch in batches:
+            out = []
+            for key, line_id, n, parity, length, cuts, line in zip(*(batch[c] for c in ("key", "id", "n", "parity", "length", "cuts", "line")), strict=True):
+                if cuts is None:
+                    own = key & (1 << 64) - 1
+                    states = [(w[0], [w[2], w[3]]) for w in places(n) if _key(line[w[2] : w[2] + w[3]], w[0], w[1]) == own]
+                else:
+                    states = [(length, list(cuts))]
+                for at_length, taken in states:
+                    rest = line
+                    for p, size in zip(taken[::2], taken[1::2], strict=True):
+                        rest = rest[:p] + "\n" + rest[p + size :]
+                    t, m = min(threshold, at_length // per_edit), len(rest)
+                    for i, p, size in windows(m, at_length + m - n, t):
+                        finer = xxhash.xxh3_64_intdigest(rest[p : p + size].encode(), (key * 2654435761 + i + 1) & (1 << 64) - 1)
+                        out.append((finer, line_id, n, parity, at_length, [*taken, p, size]))
+            made = pd.DataFrame(out, columns=["key", "id", "n", "parity", "length", "cuts"])
+            yield made.assign(key=made["key"].astype(np.uint64).to_numpy().view(np.int64))
+
+    return map_pandas(rows, run, "key long, id long, n int, parity long, length int, cuts array<int>")
+
+
+def _lines(docs: DataFrame, ids: DataFrame, per_edit: int) -> DataFrame:
+    """id, line for rows (id), which are different."""
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            found = dict.fromkeys(line for text in batch["text"] for line in (text or "").split("\n") if len(line) >= least)
+            found = dict.fromkeys(line for text in batch["text"] for line in (text or "").split("\n") if len(line) >= per_edit)
             yield pd.DataFrame({"line": list(found), "id": np.array([digest(x.encode()) for x in found], np.uint64).view(np.int64)}, columns=["line", "id"])
 
-    few = F.broadcast(wanted) if n <= BROADCAST_IDS else wanted
-    known = map_pandas(docs.select("text"), lines, "line string, id long").join(few, "id", "left_semi").groupBy("id", "line").count().select("id", "line")
-    known = materialize(known)
+    return map_pandas(docs.select("text"), lines, "line string, id long").join(few, "id", "left_semi").groupBy("id", "line").count().select("id", "line")
+
+
+def _met(index: DataFrame, probe: DataFrame, heavy: DataFrame, threshold: int) -> DataFrame:
+    """a, b of pairs that meet under a light key; for heavy keys, the probes alone (a null): key, b, b_n, b_parity, and length and cuts where there are any."""
+    more = [c for c in ("length", "cuts") if c in index.columns]
+    light = index.join(heavy, "key", "left_anti").select("key", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("parity").alias("a_parity"))
+    light = light.unionByName(heavy, allowMissingColumns=True)
+    probe = probe.withColumnsRenamed({"key": "_key", "id": "b", "n": "b_n", "parity": "b_parity"})
+    near = F.bit_count(F.col("a_parity").bitwiseXOR(F.col("b_parity"))) <= 2 * threshold
+    # of two lines with one length, the larger id probes the smaller
+    once = (F.col("a_n") < F.col("b_n")) | (F.col("a") < F.col("b"))
+    met = light.join(probe, (F.col("key") == F.col("_key")) & (F.col("a").isNull() | ((F.col("a") != F.col("b")) & once & near)))
+    only = lambda c: F.when(F.col("a").isNull(), F.col(c)).alias(c)
+    return met.select("a", "b", *map(only, ("key", "b_n", "b_parity", *more))).distinct()
+
+
+def candidates(docs: DataFrame, threshold: int, per_edit: int, levels: int = LEVELS) -> DataFrame:
+    """a, b: ids of different lines that share a segment, or several if it is a common one, and nearly all parities."""
+    index, probe, lines, found, done = materialize(_keys(docs, threshold, per_edit, False)), _keys(docs, threshold, per_edit, True), None, [], []
+    for level in range(levels + 1):
+        heavy = index.groupBy("key").count().where(F.col("count") > (HEAVY if level < levels else 1 << 62)).select("key")
+        heavy = materialize(heavy)
+        met = materialize(_met(index, probe, heavy, threshold))
+        found.append(met.where("a is not null").select("a", "b"))
+        done += [index, heavy, met]
+        if heavy.isEmpty():
+            break
+        index = index.join(heavy, "key", "left_semi")
+        probe = met.where("a is null").withColumnsRenamed({"b": "id", "b_n": "n", "b_parity": "parity"}).drop("a")
+        if lines is None:
+            lines = materialize(_lines(docs, materialize(index.select("id").union(probe.select("id")).distinct()), per_edit))
+            done.append(lines)
+            index, probe = (x.withColumns({"length": F.lit(None).cast("int"), "cuts": F.lit(None).cast("array<int>")}) for x in (index, probe))
+        columns = ("key", "id", "n", "parity", "length", "cuts", "line")
+        index = materialize(_finer(index.join(lines, "id").select(*columns), threshold, per_edit, False))
+        probe = _finer(probe.join(lines, "id").select(*columns), threshold, per_edit, True)
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    out = materialize(out.distinct())
+    discard(*done)
+    return out
+
+
+def links(docs: DataFrame, threshold: int = THRESHOLD, per_edit: int = PER_EDIT) -> DataFrame:
+    """a, b: line ids (128-bit digests) of different lines within the threshold."""
+    pairs = candidates(docs, threshold, per_edit)
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    known = materialize(_lines(docs, wanted, per_edit))
     both = pairs.join(known.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(known.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
 
     @F.pandas_udf("boolean")
     def close(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([within(p, q, threshold) for p, q in zip(x, y, strict=True)], dtype=bool)
+        return pd.Series([within(p, q, min(threshold, min(len(p), len(q)) // per_edit)) for p, q in zip(x, y, strict=True)], dtype=bool)
 
     name = lambda c: F.unhex(F.md5(F.col(c).cast("binary")))
     return both.where(close("x", "y")).select(name("x").alias("a"), name("y").alias("b"))
 
 
-def dropped_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
+def dropped_lines(docs: DataFrame, threshold: int = THRESHOLD, per_edit: int = PER_EDIT) -> DataFrame:
     """doc_id, digest, dropped (positions, ascending), n_near (of them, those equal to no line that stays) for texts that lose lines."""
     found = materialize(occurrences(docs))
     first = materialize(found.groupBy("line_id").agg(F.min(F.struct("doc_id", "digest", "pos")).alias("first")))
-    named = components(links(docs, threshold, least))
+    named = components(links(docs, threshold, per_edit))
     classes = first.join(named.withColumnRenamed("node", "line_id"), "line_id").select("line_id", "component", "first")
     heads = classes.groupBy("component").agg(F.min("first").alias("head"))
     moved = materialize(classes.join(heads, "component").select("line_id", "head"))
     stays = first.join(moved, "line_id", "left").select("line_id", F.coalesce("head", "first").alias("head"), F.coalesce(F.col("head") != F.col("first"), F.lit(False)).alias("near"))
+    stays = materialize(stays)  # so that the join that follows can split a common line
+    discard(first, moved)
     mark = found.join(stays, "line_id").where(~F.struct("doc_id", "digest", "pos").eqNullSafe(F.col("head")))
     return mark.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set("pos")).alias("dropped"), F.countDistinct(F.when(F.col("near"), F.col("pos"))).alias("n_near"))
 
 
-def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
+def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, per_edit: int = PER_EDIT) -> DataFrame:
     """doc_id, n_lines (with a word), n_kept, n_near, dropped (positions) for every row of docs."""
     lines = F.coalesce(F.size(F.filter(F.split("text", "\n", -1), _has_word)), F.lit(0))
     rows = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.when(F.col("text").isNull(), 0).otherwise(lines).cast("long").alias("n_lines"))
-    gone = dropped_lines(docs, threshold, least).withColumnsRenamed({"doc_id": "_doc", "digest": "_digest"})
+    gone = dropped_lines(docs, threshold, per_edit).withColumnsRenamed({"doc_id": "_doc", "digest": "_digest"})
     both = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_digest")), "left")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
     return both.select("doc_id", "n_lines", (F.col("n_lines") - F.size(dropped)).alias("n_kept"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), dropped.alias("dropped"))
 
 
-def deduped(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
+def deduped(docs: DataFrame, threshold: int = THRESHOLD, per_edit: int = PER_EDIT) -> DataFrame:
     """docs with the lines that stay, and with the columns of docs; n_chars, where there is one, follows the text."""
-    gone = dropped_lines(docs, threshold, least).withColumnsRenamed({"doc_id": "_doc", "digest": "_digest", "dropped": "_dropped"}).drop("n_near")
+    gone = dropped_lines(docs, threshold, per_edit).withColumnsRenamed({"doc_id": "_doc", "digest": "_digest", "dropped": "_dropped"}).drop("n_near")
     own = docs.withColumn("_own", F.xxhash64("text"))
     both = own.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_digest")), "left")
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("_dropped", i)), "\n")

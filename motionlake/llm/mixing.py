@@ -12,7 +12,7 @@
    So the words taken from a source differ from its target by less than one document's size.
 
 Randomness is hashed from doc_id, size and level, so reruns and retries agree. Null text: size 0,
-copied by its fraction and taking nothing. Repeated rows are numbered and decided each. A source without
+copied by its fraction and taking nothing. Repeated rows are numbered and decided each, and so are different rows of one id. A source without
 words has target 0. An empty table gives an empty result.
 """
 
@@ -121,13 +121,16 @@ def pivotal(rows: DataFrame, n_most: int, block: int = 48) -> DataFrame:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """dup numbers the rows of one doc_id."""
-    return docs.withColumn("dup", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size")))
+    """dup tells the rows of one doc_id apart: by text and source, and by a number where all of them agree. Null ids are dealt by text."""
+    same = Window.partitionBy("doc_id", "_text", "source").orderBy(F.lit(0))
+    rows = docs.withColumn("_text", F.xxhash64("text")).withColumn("_same", F.row_number().over(same))
+    return rows.withColumn("_dup", F.xxhash64("_text", "source", "_same")).drop("_text", "_same")
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, dup, size, source_size, target, copies, taken for every row of docs (doc_id, text, source)."""
-    sizes = materialize(_numbered(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))))
+    numbered = _numbered(docs.select("doc_id", "source", "text", word_count(F.col("text")).alias("size")))
+    sizes = materialize(numbered.select("doc_id", "source", "size", F.col("_dup").alias("dup")))
     targets = materialize(source_targets(sizes))
     seen = targets.agg(F.count("*"), F.max("n_rows")).first()
     rows = _with_targets(sizes, targets, seen[0])
@@ -142,8 +145,6 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: every row of docs as often as it is taken, with the columns of docs."""
-    taken = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_doc"), F.col("dup").alias("_number"), "copies")
-    own = docs.withColumn("_size", word_count(F.col("text")))
-    own = own.withColumn("_dup", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "_size")))
-    both = own.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_dup") == F.col("_number")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    taken = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_doc"), F.col("dup").alias("_number"), F.col("copies").alias("_copies"))
+    both = _numbered(docs).join(taken, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_dup") == F.col("_number")))
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -541,6 +541,15 @@ def test_one_of_each_group_stays(both):
             assert [m for m in members if m in stay] == [min(members)]
 
 
+def test_mix_with_clashing_columns_and_rows_of_one_id(spark):
+    rows = [(i % 3 if i % 5 else None, f"text number {i // 2} of one source", "s", i, "c") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, copies string")
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    taken = {(r["doc_id"], r["dup"]): r["copies"] for r in mixing.mix(docs).collect()}
+    assert len(taken) == 60 and sum(taken.values()) == out.count() > 60
+
+
 # line dedup
 
 
@@ -591,18 +600,18 @@ def test_probes_meet_every_pair_within_the_threshold():
             assert any((n, i, long[p : p + z]) in index for n, i, p, z in linededup.probes(len(long), t))
 
 
-def plain_dropped(rows, threshold, least):
+def plain_dropped(rows, threshold, per_edit):
     """Dropped positions per (doc_id, text)."""
     first = {}
     spots = [(i, t, p, line) for i, t in rows for p, line in enumerate((t or "").split("\n")) if split(line)]
     lines = sorted({s[3] for s in spots})
-    long = [x for x in lines if len(x) >= least]
-    pairs = [(a, b) for k, a in enumerate(long) for b in long[:k] if abs(len(a) - len(b)) <= threshold and linededup.within(a, b, threshold)]
+    near = lambda a, b: linededup.within(a, b, min(threshold, min(len(a), len(b)) // per_edit))
+    pairs = [(a, b) for k, a in enumerate(lines) for b in lines[:k] if abs(len(a) - len(b)) <= threshold and near(a, b)]
     comp = plain_components(lines, pairs)
     return spots, comp, first
 
 
-def test_line_dedup_equals_brute_force(spark):
+def test_line_dedup_equals_brute_force(spark, monkeypatch):
     rng = random.Random(11)
     base = [cases.words(rng, rng.randrange(3, 9)) for _ in range(25)]
     rows = []
@@ -619,10 +628,10 @@ def test_line_dedup_equals_brute_force(spark):
     for i, _, p, line in spots:
         if heads[comp[line]] != (i, p):
             want[i].append(p)
-    for limit in (linededup.BROADCAST_IDS, -1):  # both ways to fetch the candidates
-        linededup.BROADCAST_IDS, old = limit, linededup.BROADCAST_IDS
+    for limit, heavy in ((linededup.BROADCAST_IDS, 64), (-1, 64), (linededup.BROADCAST_IDS, 1)):  # both ways to fetch the candidates; heavy keys
+        monkeypatch.setattr(linededup, "BROADCAST_IDS", limit)
+        monkeypatch.setattr(linededup, "HEAVY", heavy)
         got = {r["doc_id"]: r for r in linededup.line_dedup(docs).collect()}
-        linededup.BROADCAST_IDS = old
         assert {i: r["dropped"] for i, r in got.items()} == {i: sorted(want[i]) for i, _ in rows}
     assert all(r["n_kept"] == r["n_lines"] - len(r["dropped"]) for r in got.values())
     texts = {r["doc_id"]: r for r in linededup.deduped(docs).collect()}
@@ -634,6 +643,27 @@ def test_line_dedup_equals_brute_force(spark):
             assert texts[i]["text"] == left and texts[i]["n_chars"] == (len(left) if want[i] else 3)
 
 
+def test_lines_with_a_common_start_meet_seldom(spark, monkeypatch):
+    """Lines of one length that share a third, with some pairs at two edits among them."""
+    met, plain = [], linededup._met
+
+    def counting(index, probe, heavy, threshold):
+        met.append(index.join(heavy, "key", "left_anti").join(probe.select("key"), "key").count())
+        return plain(index, probe, heavy, threshold)
+
+    monkeypatch.setattr(linededup, "_met", counting)
+    for n in (200, 400):
+        rng = random.Random(5)
+        lines = ["common start of a line, thirty-one " + "".join(rng.choice("abcdefgh ") for _ in range(70)) for _ in range(n)]
+        for i in range(0, 20, 2):
+            lines[i + 1] = lines[i][:50] + "x" + lines[i][51:80] + "yz"[i % 4 // 2] + lines[i][81:]
+        met.append(-1)
+        pairs = linededup.candidates(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string"), 2, 20)
+        assert pairs.count() >= 10
+    small, large = sum(met[1 : met.index(-1, 1)]), sum(met[met.index(-1, 1) + 1 :])
+    assert large <= 3 * small + 1000
+
+
 def test_line_dedup_of_odd_texts(both):
     rows = linededup.line_dedup(both).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter(i for i, _ in cases.rows_of(both))
