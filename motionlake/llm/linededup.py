@@ -16,7 +16,8 @@ text digest, position) stays, all others go. Blank lines stay.
 * A key of more than HEAVY index entries doesn't meet its probes. What is left of each of its lines without the segment
   is cut into t + 1 segments in turn, of which one is whole again, and so on for LEVELS levels: lines that share a
   part meet only if they share more, and no pair is lost. Keys still heavy at the last level are joined as they
-  are; their lines agree in all but a ninth or so.
+  are; their lines agree in seven tenths or so. Index entries are made different first, so a line that stands in many
+  tasks is met once and makes no key heavy by itself.
 * Candidates are confirmed on the lines themselves by a banded bit-parallel edit distance. Their texts
   are fetched by a broadcast of the candidates' ids while these are few (`BROADCAST_IDS`), and by a shuffle
   join beyond.
@@ -41,7 +42,7 @@ from .components import components
 
 THRESHOLD, PER_EDIT = 2, 20
 #: Index entries beyond which a key is heavy, and how often heavy keys are refined.
-HEAVY, LEVELS = 64, 4
+HEAVY, LEVELS = 256, 2
 BROADCAST_IDS = 2_000_000
 #: Characters of lines whose keys are made at once, and lines that a task remembers.
 CHUNK, SEEN = 1_000_000, 300_000
@@ -245,16 +246,16 @@ def _met(index: DataFrame, probe: DataFrame, heavy: DataFrame, threshold: int) -
     once = (F.col("a_n") < F.col("b_n")) | (F.col("a") < F.col("b"))
     met = light.join(probe, (F.col("key") == F.col("_key")) & (F.col("a").isNull() | ((F.col("a") != F.col("b")) & once & near)))
     only = lambda c: F.when(F.col("a").isNull(), F.col(c)).alias(c)
-    return met.select("a", "b", *map(only, ("key", "b_n", "b_parity", *more))).distinct()
+    return met.select("a", "b", *map(only, ("key", "b_n", "b_parity", *more)))
 
 
 def candidates(docs: DataFrame, threshold: int, per_edit: int, levels: int = LEVELS) -> DataFrame:
     """a, b: ids of different lines that share a segment, or several if it is a common one, and nearly all parities."""
-    index, probe, lines, found, done = materialize(_keys(docs, threshold, per_edit, False)), _keys(docs, threshold, per_edit, True), None, [], []
+    index, probe, lines, found, done = materialize(_keys(docs, threshold, per_edit, False).distinct()), _keys(docs, threshold, per_edit, True), None, [], []
     for level in range(levels + 1):
         heavy = index.groupBy("key").count().where(F.col("count") > (HEAVY if level < levels else 1 << 62)).select("key")
         heavy = materialize(heavy)
-        met = materialize(_met(index, probe, heavy, threshold))
+        met = materialize(_met(index, probe, heavy, threshold).distinct())
         found.append(met.where("a is not null").select("a", "b"))
         done += [index, heavy, met]
         if heavy.isEmpty():

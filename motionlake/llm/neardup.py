@@ -38,6 +38,8 @@ from .components import components
 
 #: Buckets of token counts that order prefixes; giant nodes in whose blocks a set stands; pivots of a giant node.
 BUCKETS, MERGES, PIVOTS = 1 << 18, 3, 8
+#: Sets whose marks of 8 bytes are broadcast at most.
+BROADCAST_IDS = 2_000_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _SHIFT = np.uint64(31)
 
@@ -140,9 +142,12 @@ def _forest(members: list[dict], percent: int) -> list[tuple[bytes, bytes]]:
 
 
 def _texts(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (sid, ...) with the text of each set's representative, as often as its row stands in docs."""
-    own = wanted.join(reps.select("sid", "doc", F.col("digest").alias("_digest")), "sid")
+    """wanted (sid, ...) with the text of each set's representative, as often as its row stands in docs. While the sets
+    are few, a broadcast of their marks leaves out other texts before the shuffle."""
+    own = materialize(wanted.join(reps.select("sid", "doc", F.col("digest").alias("_digest")), "sid").withColumn("_mark", F.xxhash64("doc", "_digest")))
     texts = docs.select("doc_id", "text").withColumn("digest", F.xxhash64("text"))
+    if own.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(own.select("_mark")), F.xxhash64("doc_id", "digest") == F.col("_mark"), "left_semi")
     return texts.join(own, texts["doc_id"].eqNullSafe(own["doc"]) & (texts["digest"] == own["_digest"])).select("text", *wanted.columns)
 
 
