@@ -16,7 +16,7 @@ def recall_at_k(vectors: DataFrame, label: str, k: int) -> DataFrame:
     members = names.groupBy("label").agg((F.count("*") - 1).alias("n_pos"))
     near = knn(vectors, k).join(names, "i").join(names.select(F.col("i").alias("j"), F.col("label").alias("other")), "j")
     hits = near.groupBy("i").agg(F.count_if(F.col("label") == F.col("other")).alias("same"))
-    out = names.join(hits, "i", "left").join(F.broadcast(members), "label")
+    out = names.join(hits, "i", "left").join(members, "label")
     recall = F.when(F.col("n_pos") == 0, 1.0).otherwise(F.coalesce("same", F.lit(0)) / F.greatest(F.least(F.lit(k), F.col("n_pos")), F.lit(1)))
     return out.select(F.col("i").alias("row_index"), "label", recall.alias("recall"))
 
@@ -158,6 +158,50 @@ def neighbor_consistency(vectors: DataFrame, features: DataFrame, k: int, clip_a
     return clipped.groupBy("feature").agg(F.count("*").alias("n"), F.avg("ratio").alias("ratio_mean"), F.median("ratio").alias("ratio_median"))
 
 
+def conditioned_consistency(vectors: DataFrame, features: DataFrame, candidates: DataFrame, k: int, least: int = 1, clip_at: float = 0.99, floor: float = 1e-3, least_std: float = 1e-8) -> DataFrame:
+    """feature, n, ratio_mean, ratio_median, mean_cond_candidates, frac_fallback, note: neighbor_consistency with both choices
+    limited to an anchor's candidates.
+
+    vectors: scope, row_index, embedding. features: row_index, feature, x (NULL left out). candidates: i, j inside scopes. An anchor with fewer than
+    `least` candidates that have the feature falls back to all other rows of its scope; candidates are counted
+    before that. Features of k + 1 values or fewer, or of nearly one value, have NULL ratios and a note.
+    """
+    xs = features.where("x is not null").join(vectors.select("row_index", "scope"), "row_index")
+    a = xs.select("scope", "feature", F.col("row_index").alias("i"), F.col("x").alias("xi"))
+    b = xs.select("scope", "feature", F.col("row_index").alias("j"), F.col("x").alias("xj"))
+    gated = a.join(candidates.select("i", "j"), "i").join(b.drop("scope"), ["j", "feature"])
+    counts = gated.groupBy("i", "feature").agg(F.count("*").alias("n_cand"))
+    anchors = a.join(counts, ["i", "feature"], "left").withColumn("n_cand", F.coalesce("n_cand", F.lit(0)))
+    poor = anchors.where(F.col("n_cand") < least).drop("n_cand").join(b, ["scope", "feature"]).where("i <> j")
+    rich = gated.join(counts.where(F.col("n_cand") >= least).select("i", "feature"), ["i", "feature"], "left_semi")
+    pool = rich.unionByName(poor).select("feature", "i", "j", F.abs(F.col("xi") - F.col("xj")).alias("gap"))
+    v = vectors.select("row_index", "embedding")
+    pool = pool.join(v.select(F.col("row_index").alias("i"), F.col("embedding").alias("p")), "i").join(v.select(F.col("row_index").alias("j"), F.col("embedding").alias("q")), "j")
+    pool = pool.select("feature", "i", "j", "gap", F.round(cosine_distance(F.col("p"), F.col("q")), 12).alias("d"), F.md5(F.concat_ws("-", F.col("i").cast("string"), F.col("j").cast("string")).cast("binary")).alias("draw"))
+    of = Window.partitionBy("feature", "i")
+    ranked = pool.withColumns({"near": F.row_number().over(of.orderBy("d", "j")), "any": F.row_number().over(of.orderBy("draw", "j"))})
+    mean = lambda c: F.avg(F.when(F.col(c) <= k, F.col("gap")))
+    ratio = ranked.groupBy("feature", "i").agg((mean("near") / F.greatest(mean("any"), F.lit(floor))).alias("ratio"))
+    ratio = ratio.join(F.broadcast(ratio.groupBy("feature").agg(F.percentile("ratio", F.lit(clip_at)).alias("top"))), "feature")
+    clipped = F.greatest(F.lit(0.0), F.least("ratio", "top"))
+    ratios = ratio.groupBy("feature").agg(F.avg(clipped).alias("m"), F.median(clipped).alias("h"))
+    per = anchors.groupBy("feature").agg(F.count("*").alias("n"), F.stddev_pop("xi").alias("s"), F.avg("n_cand").alias("c"), F.avg(F.when(F.col("n_cand") < least, 1.0).otherwise(0.0)).alias("f"))
+    note = F.when(F.col("n") <= k + 1, "too few").when(F.col("s") < least_std, "constant").otherwise("ok")
+    ok = lambda c: F.when(F.col("note") == "ok", F.col(c))
+    out = per.join(ratios, "feature", "left").withColumn("note", note)
+    return out.select("feature", "n", ok("m").alias("ratio_mean"), ok("h").alias("ratio_median"), ok("c").alias("mean_cond_candidates"), ok("f").alias("frac_fallback"), "note")
+
+
+def evaluation_views(rows: DataFrame, eval_split: str = "test", holdout: float | None = None) -> DataFrame:
+    """row_index, role (train or eval; a row can have both with eval_split "all"). With `holdout`, that share of rows by their hashed index is
+    evaluated and the rest trains; else the column `split` decides and other splits are left out."""
+    if holdout is not None:
+        u = F.conv(F.substring(F.md5(F.concat(F.lit("holdout_"), F.col("row_index").cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint") / F.lit(4294967295.0)
+        return rows.select("row_index", F.when(u < holdout, "eval").otherwise("train").alias("role"))
+    evaluated = rows if eval_split == "all" else rows.where(F.col("split") == eval_split)
+    return rows.where("split = 'train'").select("row_index", F.lit("train").alias("role")).unionByName(evaluated.select("row_index", F.lit("eval").alias("role")))
+
+
 def _gated(vectors: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     v = vectors.select("row_index", "embedding")
     d = candidates.select("i", "j").join(v.select(F.col("row_index").alias("i"), F.col("embedding").alias("x")), "i").join(v.select(F.col("row_index").alias("j"), F.col("embedding").alias("y")), "j")
@@ -180,6 +224,26 @@ def clustering_metrics(vectors: DataFrame, label: str) -> DataFrame:
     return totals.crossJoin(db).select("n", "k", ch.alias("calinski_harabasz"), "davies_bouldin")
 
 
+def clustering_report(vectors: DataFrame, k: int, cluster, seeds: int = 5) -> DataFrame:
+    """One row: silhouette, calinski_harabasz, davies_bouldin, each the mean over `seeds` clusterings; NULL with fewer than max(10, k + 1)
+    vectors. cluster(vectors, k, seed) gives row_index, cluster."""
+    found = None
+    for seed in range(seeds if vectors.count() >= max(10, k + 1) else 0):
+        made = cluster(vectors, k, seed).select("row_index", F.col("cluster").alias("_cluster"))
+        rows = vectors.select("row_index", "embedding").join(made, "row_index")
+        one = clustering_metrics(rows, "_cluster").crossJoin(silhouette(rows, "_cluster").agg(F.avg("silhouette").alias("silhouette")))
+        found = one if found is None else found.unionByName(one)
+    names = ("silhouette", "calinski_harabasz", "davies_bouldin")
+    if found is None:
+        return vectors.agg(*(F.lit(None).cast("double").alias(c) for c in names))
+    return found.agg(*(F.avg(c).alias(c) for c in names))
+
+
+def mean_of_logs(log: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """by, n and the means of per-batch statistics; NULL and NaN entries are left out of a column's mean."""
+    return log.groupBy(by).agg(F.count("*").alias("n"), *(F.avg(F.when(~F.isnan(c), F.col(c))).alias(c) for c in columns))
+
+
 def silhouette(vectors: DataFrame, label: str) -> DataFrame:
     """row_index, silhouette (Euclidean): mean distances to the own and the nearest other label; 0 for a label's only member.
 

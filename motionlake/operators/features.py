@@ -133,3 +133,16 @@ def missing_counts(features: DataFrame, columns=STYLE) -> DataFrame:
     """feature, n_missing, n."""
     rows = features.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns))).alias("p")).select("p.*")
     return rows.groupBy("feature").agg(F.count_if(F.col("x").isNull() | F.isnan("x")).alias("n_missing"), F.count("*").alias("n"))
+
+
+def dataset_report(speeds: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row: statistics of all speeds (speed), and of windows (split, cf_valid_frac, desired_gap_raw, desired_gap_d0, kd_small): numbers per
+    split, of gains too small, and of gaps, with extremes and percentiles of gaps before and after cleaning."""
+    first = speeds.agg(F.avg("speed").alias("speed_mean"), F.stddev_pop("speed").alias("speed_std"), F.min("speed").alias("speed_min"), F.max("speed").alias("speed_max"))
+    splits = [F.count_if(F.col("split") == s).alias(f"{s}_count") for s in ("train", "val", "test")]
+    gaps = []
+    for c, name in (("desired_gap_raw", "d0_raw"), ("desired_gap_d0", "d0_sanitized")):
+        gaps += [F.count(c).alias(f"{name}_valid_count"), F.min(c).alias(f"{name}_min"), F.max(c).alias(f"{name}_max"), *(F.percentile(c, F.lit(p / 100)).alias(f"{name}_p{p}") for p in (1, 50, 99))]
+    cf = [F.avg("cf_valid_frac").alias("cf_mean"), F.stddev_pop("cf_valid_frac").alias("cf_std"), *(F.percentile("cf_valid_frac", F.lit(p / 100)).alias(f"cf_p{p}") for p in (10, 50, 90))]
+    second = rows.agg(F.count("*").alias("total_windows"), *splits, *gaps, F.count_if("kd_small").alias("kd_small_count"), F.count_if(F.col("desired_gap_d0").isNull()).alias("d0_nan_count"), *cf)
+    return first.crossJoin(F.broadcast(second))

@@ -133,16 +133,17 @@ def local_scales(pairs: DataFrame, k: int = 7, floor: float = 1e-3) -> DataFrame
 
 
 def kernel_logits(pairs: DataFrame, kind: str = "row", k: int = 7, alpha: float = 1.0, floor: float = 1e-3, eps: float = 1e-8) -> DataFrame:
-    """pairs with `logit`: row (local scale of i), sym (of both) or tau (lower median of the scope's distances)."""
-    if kind == "tau":
-        tau = pairs.groupBy("scope").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY d)").alias("tau"))
-        return pairs.join(tau, "scope").withColumn("logit", -F.col("d") / F.greatest("tau", F.lit(floor))).drop("tau")
+    """pairs with `logit`: row (local scale of i), sym (of both), tau or anchor_tau (lower median of the scope's or the anchor's distances)."""
+    if kind in ("tau", "anchor_tau"):
+        by = "scope" if kind == "tau" else "i"
+        tau = pairs.groupBy(by).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY d)").alias("tau"))
+        return pairs.join(tau, by).withColumn("logit", -F.col("d") / F.greatest("tau", F.lit(floor))).drop("tau")
     sigma = local_scales(pairs, k, floor)
     out = pairs.join(sigma, "i")
     if kind == "row":
         return out.withColumn("logit", -F.col("d") / F.col("sigma") * alpha).drop("sigma")
     if kind != "sym":
-        raise ValueError("kind must be row, sym or tau")
+        raise ValueError("kind must be row, sym, tau or anchor_tau")
     out = out.join(sigma.select(F.col("i").alias("j"), F.col("sigma").alias("sigma_j")), "j")
     return out.withColumn("logit", -(F.col("d") * F.col("d")) / (F.col("sigma") * F.col("sigma_j") + eps) * alpha).drop("sigma", "sigma_j")
 
@@ -155,6 +156,56 @@ def soft_targets(logits: DataFrame, eps: float = 1e-8) -> DataFrame:
     return p.withColumn("p", F.col("p") / (F.sum("p").over(w) + eps)).drop("e")
 
 
+def gate_top(pairs: DataFrame, most: int) -> DataFrame:
+    """pairs of the `most` nearest of each anchor; ties by j."""
+    rank = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
+    return pairs.where("d is not null").withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+
+
+def uniform_rows(targets: DataFrame, rows: DataFrame) -> DataFrame:
+    """targets (i, j, p), and 1 / (B - 1) for every other row of the scope of anchors that have none. rows: scope, row_index."""
+    bare = rows.select("scope", F.col("row_index").alias("i")).join(targets.select("i").distinct(), "i", "left_anti")
+    sizes = rows.groupBy("scope").agg(F.count("*").alias("n")).where("n > 1")
+    rest = bare.join(sizes, "scope").join(rows.select("scope", F.col("row_index").alias("j")), "scope").where("i <> j")
+    return targets.select("i", "j", "p").unionByName(rest.select("i", "j", (1.0 / (F.col("n") - 1)).alias("p")))
+
+
+def common_dim_stats(pairs: DataFrame, column: str = "common") -> DataFrame:
+    """scope, mean, p10, p50, p90 of the dimensions that the two vectors of a pair share."""
+    q = F.percentile(column, F.array(*map(F.lit, (0.1, 0.5, 0.9))))
+    out = pairs.groupBy("scope").agg(F.avg(column).alias("mean"), q.alias("q"))
+    return out.select("scope", "mean", *(F.get("q", F.lit(i)).alias(f"p{p}") for i, p in enumerate((10, 50, 90))))
+
+
+def normalized(vectors: DataFrame, mode: str, clip_at: float = 0.0) -> DataFrame:
+    """vectors (scope, row_index, embedding) as they are (none), at unit length (l2), or each dimension over its sample deviation in the
+    scope, about its mean (batch_std); then clipped to -clip_at .. clip_at if that is over 0."""
+    if mode == "l2":
+        out = vectors.withColumn("embedding", unit(F.col("embedding")))
+    elif mode == "batch_std":
+        parts = vectors.select("scope", "row_index", F.posexplode("embedding").alias("pos", "x"))
+        ends = parts.groupBy("scope", "pos").agg(F.avg("x").alias("m"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("s"))
+        ends = ends.groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("pos", "m", "s"))).alias("ends"))
+        scaled = F.zip_with("embedding", "ends", lambda x, e: (x - e["m"]) / (e["s"] + 1e-6))
+        out = vectors.join(ends, "scope").withColumn("embedding", scaled).select(*vectors.columns)
+    elif mode == "none":
+        out = vectors
+    else:
+        raise ValueError("mode must be none, l2 or batch_std")
+    if clip_at > 0:
+        out = out.withColumn("embedding", F.transform("embedding", lambda x: F.greatest(F.lit(-clip_at), F.least(F.lit(clip_at), x))))
+    return out
+
+
+def hybrid(soft: DataFrame, sup: DataFrame, rows: DataFrame, w_soft: float = 1.0, w_sup: float = 1.0) -> DataFrame:
+    """scope, soft, sup, loss: the weighted sum of two mean losses (i, loss) of a scope; 0 for NaN and NULL, 10000 for infinities."""
+    scope = rows.select("scope", F.col("row_index").alias("i"))
+    mean = lambda x, name: x.join(scope, "i").groupBy("scope").agg(F.avg("loss").alias(name))
+    both = mean(soft, "soft").join(mean(sup, "sup"), "scope", "full")
+    loss = w_soft * F.coalesce("soft", F.lit(0.0)) + w_sup * F.coalesce("sup", F.lit(0.0))
+    return both.withColumn("loss", F.when(F.isnan(loss), 0.0).when(F.abs(loss) == float("inf"), 1e4).otherwise(loss))
+
+
 def spread(targets: DataFrame, eps: float = 1e-8) -> DataFrame:
     """i, entropy, effective_k of each anchor's targets."""
     return targets.groupBy("i").agg((-F.sum(F.col("p") * F.log(F.col("p") + eps))).alias("entropy"), (1 / (F.sum(F.col("p") * F.col("p")) + eps)).alias("effective_k"))

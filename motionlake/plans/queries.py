@@ -543,10 +543,8 @@ def within_source_retrieve(spark, d):
 @query("hit_at_k", f"WITH {_QUERY}, t AS (SELECT policy_id, row_number() OVER (ORDER BY distance, row_index) AS rank FROM c ORDER BY distance, row_index LIMIT 5) SELECT bool_or(policy_id = q AND rank = 1) AS hit_at_1, bool_or(policy_id = q) AS hit_at_k, count(*) FILTER (policy_id = q) AS n_same, count(*) AS n FROM t, (SELECT policy_id AS q FROM vectors WHERE row_index = 40)")
 def hit_at_k(spark, d):
     rows = _retrieval_rows(spark, d)
-    near = retrieve.retrieve(rows, 40, 5)
-    own = rows.where("row_index = 40").select(F.col("policy_id").alias("q"))
-    same = F.col("policy_id") == F.col("q")
-    return near.crossJoin(F.broadcast(own)).agg(F.bool_or(same & (F.col("rank") == 1)).alias("hit_at_1"), F.bool_or(same).alias("hit_at_k"), F.count_if(same).alias("n_same"), F.count("*").alias("n"))
+    own = rows.where("row_index = 40").select("policy_id").first()
+    return retrieve.hits(retrieve.retrieve(rows, 40, 5), own and own["policy_id"]).drop("reason")
 
 
 @query("best_hit_case", f"""WITH {sql.KNN(5, sql.COS('a.v', 'b.v'))}, h AS (SELECT i, count(*) FILTER (x.policy_id = y.policy_id) AS hits FROM near JOIN vectors x ON x.row_index = i JOIN vectors y ON y.row_index = j GROUP BY i)
@@ -629,4 +627,6 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["lead_vehicle"](spark, sf_dir)
 
 
+from . import reports  # noqa: E402, F401  (registers its queries)
+
 __all__ = ["ORACLES", "QUERIES", "entry"]

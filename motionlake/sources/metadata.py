@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import to_int
@@ -49,3 +51,43 @@ def first_names(rows: DataFrame, key: str = "policy_id", name: str = "policy_nam
     """key, name: the name at the lowest row_index, or policy_<id>."""
     found = rows.groupBy(key).agg(F.min_by(name, F.when(F.col(name).isNotNull(), F.col("row_index"))).alias("found"))
     return found.select(key, F.coalesce("found", F.concat(F.lit("policy_"), F.col(key).cast("string"))).alias(name))
+
+
+#: Names of features that older files knew by their number alone.
+LEGACY_NAMES = {0: "rel_speed_mean", 3: "thw_mean", 8: "jerk_p95", 15: "speed_norm"}
+
+
+def feature_name(number: Column, names: list[str] | None = None) -> Column:
+    """The name of a feature's number: from the list, else a legacy name, else feature_<number>."""
+    legacy = F.create_map(*(F.lit(x) for pair in LEGACY_NAMES.items() for x in pair))
+    listed = F.get(F.array(*map(F.lit, names)), number.cast("int")) if names else F.lit(None).cast("string")
+    return F.coalesce(listed, F.element_at(legacy, number.cast("int")), F.concat(F.lit("feature_"), number.cast("string")))
+
+
+def scan_metadata(spark: SparkSession, path: str, n: int) -> tuple[DataFrame | None, str | None]:
+    """A CSV with a header as text columns, if it has n rows; else None and a warning."""
+    table = spark.read.option("header", True).csv(path)
+    found = table.count()
+    return (table, None) if found == n else (None, f"{path} has {found} rows, not {n}: left out")
+
+
+def _json(spark: SparkSession, path: str):
+    rows = spark.read.text(path, wholetext=True).limit(1).collect()
+    try:
+        return json.loads(rows[0][0]) if rows else None
+    except json.JSONDecodeError:
+        return None
+
+
+def scan_feature_names(spark: SparkSession, path: str) -> tuple[list[str] | None, str | None]:
+    """A JSON list of texts; else None and a warning."""
+    names = _json(spark, path)
+    good = isinstance(names, list) and all(isinstance(x, str) for x in names)
+    return (names, None) if good else (None, f"{path} is no list of names: left out")
+
+
+def scan_policy_names(spark: SparkSession, path: str) -> DataFrame:
+    """policy_id, policy_name of a JSON object from numbers to names; keys that are no numbers go."""
+    names = _json(spark, path)
+    rows = [(str(k), str(v)) for k, v in names.items()] if isinstance(names, dict) else []
+    return spark.createDataFrame(rows, "k string, policy_name string").select(to_int(F.col("k")).alias("policy_id"), "policy_name").where("policy_id is not null")

@@ -39,3 +39,18 @@ def report(summary: DataFrame, retrieval: DataFrame, top: int = 20) -> str:
     lines += ["", "| " + " | ".join(head) + " |", "|" + "---|" * len(head)]
     lines += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in retrieval.limit(top).collect()]
     return "\n".join(lines) + "\n"
+
+
+def write_rollouts(frames: DataFrame, meta: DataFrame, policies: DataFrame, path: str) -> None:
+    """Roll-outs as Parquet, their metadata as CSV with a header, and the names of the policies (policy_id, policy_name) as one JSON object."""
+    write_table(frames, f"{path}/rollouts.parquet")
+    write_csv(meta, f"{path}/meta.csv")
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("policy_id").cast("string"), "policy_name")))
+    policies.agg(F.to_json(F.map_from_entries(pairs)).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/policy_names.json")
+
+
+def write_features(style: DataFrame, path: str, legacy: DataFrame | None = None) -> None:
+    """Style features, and the legacy set under both of its names if it is asked for."""
+    write_table(style, f"{path}/feat_style.parquet")
+    for name in ("feat", "feat_legacy") if legacy is not None else ():
+        write_table(legacy, f"{path}/{name}.parquet")

@@ -1,7 +1,6 @@
 """Every query of the library against its SQL, on the same tables."""
 
 import math
-import os
 from collections import Counter
 
 import duckdb
@@ -12,6 +11,10 @@ from motionlake.plans.queries import ORACLES, QUERIES
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
 
 
+#: Queries whose values hang on rounding at ties or at a threshold: one row in a thousand may differ.
+ROUNDED = {"zscore_features", "cf_gains_ridge", "acc_sync_lag", "minmax_fingerprint", "replay_signals"}
+
+
 @pytest.fixture(scope="module")
 def con(sf_dir):
     con = duckdb.connect()
@@ -31,7 +34,7 @@ def test_against_sql(spark, sf_dir, con, name):
     order = [want.columns.index(c) for c in got.columns]
     a, b = Counter(tuple(map(_plain, r)) for r in got.collect()), Counter(tuple(_plain(r[i]) for i in order) for r in want.fetchall())
     odd, lost = list((a - b).elements()), list((b - a).elements())
-    assert sum(a.values()) == sum(b.values()) and len(odd) <= (0 if os.environ.get("EXACT") else len(a) // 1000), (odd[:3], lost[:3])
+    assert sum(a.values()) == sum(b.values()) and len(odd) <= (len(a) // 1000 if name in ROUNDED else 0), (odd[:3], lost[:3])
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
