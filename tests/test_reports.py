@@ -31,7 +31,7 @@ def test_rollout_sink(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "meta.csv")).columns == ["row_index", "policy_id"]
     assert json.loads(spark.read.text(str(tmp_path / "policy_names.json")).first()[0]) == {"0": "a", "1": "b"}
     sinks.write_features(frames, str(tmp_path), frames)
-    assert spark.read.parquet(str(tmp_path / "feat")).count() == 2 if (tmp_path / "feat").exists() else spark.read.parquet(str(tmp_path / "feat.parquet")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "feat.parquet")).count() == spark.read.parquet(str(tmp_path / "feat_legacy.parquet")).count() == 2
 
 
 def test_hybrid_guards_what_is_not_finite(spark):
