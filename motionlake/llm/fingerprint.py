@@ -54,7 +54,7 @@ class PrefixHash:
     def __init__(self, text: str):
         code = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
         self.n = len(code)
-        self.sums, self._windows = [], None
+        self.sums, self._windows, self._parts = [], None, None
         for k, m in enumerate(MODULI):
             out = np.zeros(self.n + 1, np.uint64)
             np.cumsum(code * powers(k, self.n)[: self.n] % np.uint64(m), out=out[1:])
@@ -83,14 +83,35 @@ class PrefixHash:
             low, high = (mid, high) if self.spans_equal(i - mid, other, j - mid, mid - low) else (low, mid - 1)
         return low
 
+    @classmethod
+    def joined(cls, a: PrefixHash, i: int, b: PrefixHash, j: int) -> PrefixHash:
+        """The hash of a's first i characters and b's first j after them, from both prefix arrays."""
+        out = cls.__new__(cls)
+        out.n, out.sums, out._windows, out._parts = i + j, [], None, (a, i, b, j)
+        for k, m in enumerate(MODULI):
+            head, m = a.sums[k][: i + 1], np.uint64(m)
+            out.sums.append(np.concatenate([head, (b.sums[k][1 : j + 1] * powers(k, i)[i] + head[-1]) % m]))
+        return out
+
+    def _window_hashes(self, first: int, last: int) -> np.ndarray:
+        parts = []
+        for k, m in enumerate(MODULI):
+            s, m = self.sums[k], np.uint64(m)
+            # differences below 2 * m times powers below m fit in 64 bits
+            parts.append((s[first + WINDOW : last + WINDOW] + m - s[first:last]) * powers(k, last, -1)[first:last] % m)
+        return parts[0] << np.uint64(31) | parts[1]
+
     def windows(self) -> np.ndarray:
-        """Hashes of all windows of WINDOW characters, moved to power 0; both moduli in one number."""
+        """Hashes of all windows of WINDOW characters, moved to power 0; both moduli in one number. Of joined texts, only
+        the windows across the seam are new."""
         if self._windows is None:
-            n, parts = max(self.n - WINDOW + 1, 0), []
-            for k, m in enumerate(MODULI):
-                s, m = self.sums[k], np.uint64(m)
-                parts.append((s[WINDOW:] + m - s[:n]) % m * powers(k, n, -1)[:n] % m)
-            self._windows = parts[0] << np.uint64(31) | parts[1]
+            n = max(self.n - WINDOW + 1, 0)
+            if self._parts is None:
+                self._windows = self._window_hashes(0, n)
+            else:
+                a, i, b, j = self._parts
+                head, tail = a.windows()[: max(i - WINDOW + 1, 0)], b.windows()[: max(j - WINDOW + 1, 0)]
+                self._windows = np.concatenate([head, self._window_hashes(len(head), n - len(tail)), tail])
         return self._windows
 
     def agreeing(self, other: PrefixHash, front: int, back: int) -> int:
@@ -98,12 +119,18 @@ class PrefixHash:
         # windows inside the front or the back add nothing
         first, last = max(front - WINDOW + 1, 0), max(self.n - max(back, WINDOW - 1), 0)
         mine, theirs = self.windows()[first:last], other.windows()
-        # a table of low bits leaves few windows to compare in full
+        # a table of low bits leaves few windows of either text to compare in full
         low = np.uint64((1 << (8 * len(theirs)).bit_length()) - 1)
         seen = np.zeros(int(low) + 1, bool)
-        seen[theirs & low] = True
+        bits = theirs & low
+        seen[bits] = True
         at = np.flatnonzero(seen[mine & low])
-        at = first + at[np.isin(mine[at], theirs)] if len(at) else at
+        if len(at):
+            wanted = mine[at]
+            seen[:] = False
+            seen[wanted & low] = True
+            there = np.sort(theirs[seen[bits]])
+            at = first + at[there[np.minimum(np.searchsorted(there, wanted), len(there) - 1)] == wanted]
         covered = np.zeros(self.n, bool)
         if len(at):
             change = np.zeros(self.n + 1, np.int64)
@@ -171,7 +198,8 @@ def edited_neighbours(docs: DataFrame, range_bytes: int = 4 << 20, most_ranges:
                 own = PrefixHash(text)
                 if held is not None:
                     edited = half_replaced(held[2], text)
-                    changed = PrefixHash(edited)
+                    cut = held[3].n // 2
+                    changed = PrefixHash.joined(held[3], held[3].n - cut, own, min(cut, own.n))
                     out.append((held[1], held[3].n, hashlib.sha256(edited.encode()).hexdigest(), held[3].digest(), changed.digest(), held[3].likeness(changed), held[3].likeness(own)))
                 held = None if guest else (at, doc_id, text, own)
             yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])

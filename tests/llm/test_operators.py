@@ -243,6 +243,46 @@ def test_span_equality_and_extensions():
     assert fingerprint.PrefixHash("").likeness(fingerprint.PrefixHash("")) == 1
 
 
+def test_joined_hashes_equal_those_of_the_joined_text():
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abé🙂") for _ in range(rng.choice([0, 1, 5, 23, 24, 25, 47, 60, 200]))) for _ in range(2))
+        i, j = rng.randrange(len(a) + 1), rng.randrange(len(b) + 1)
+        made, plain = fingerprint.PrefixHash.joined(fingerprint.PrefixHash(a), i, fingerprint.PrefixHash(b), j), fingerprint.PrefixHash(a[:i] + b[:j])
+        assert made.n == plain.n and made.digest() == plain.digest() and all((x == y).all() for x, y in zip(made.sums, plain.sums, strict=True))
+        assert made.windows().tolist() == plain.windows().tolist()
+
+
+def test_likeness_equals_a_plain_count():
+    """Against a count over the texts themselves: common front and back, and windows found anywhere in the other text."""
+    rng, w = random.Random(8), fingerprint.WINDOW
+
+    def plain(a, b):
+        if a == b:
+            return 1.0
+        short, long = min(len(a), len(b)), max(len(a), len(b))
+        front = next((k for k in range(short) if a[k] != b[k]), short)
+        back = min(next((k for k in range(short) if a[-1 - k] != b[-1 - k]), short), short - front)
+
+        def covered(x, y):
+            known, marks = {y[k : k + w] for k in range(len(y) - w + 1)}, [False] * len(x)
+            marks[:front] = [True] * front
+            marks[len(x) - back :] = [True] * back
+            for k in range(len(x) - w + 1):
+                if x[k : k + w] in known:
+                    marks[k : k + w] = [True] * w
+            return sum(marks)
+
+        return min(covered(a, b), covered(b, a), long - 1) / long
+
+    base = "".join(rng.choice("abcd") for _ in range(400))
+    for _ in range(200):
+        x, y = rng.randrange(400), rng.randrange(400)
+        a = base[:x] + rng.choice(["", "x", "other"]) + base[x : rng.randrange(x, 401)]
+        b = rng.choice([base[y:] + base[:y], base[:y] + "y" + base[y:], a, "", base[y : y + 30] * 3])
+        assert fingerprint.PrefixHash(a).likeness(fingerprint.PrefixHash(b)) == pytest.approx(plain(a, b))
+
+
 def test_likeness_counts_agreement_between_and_out_of_place():
     rng = random.Random(6)
     like = lambda a, b: fingerprint.PrefixHash(a).likeness(fingerprint.PrefixHash(b))
