@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import running_total
 from ..functions.scalar import cosine_distance, dot, l2
+from ..sources.metadata import dense_numbers
 from .pairs import knn
 
 
@@ -108,11 +110,15 @@ def retrieval_applicable(rows: DataFrame) -> DataFrame:
 
 def average_ranks(rows: DataFrame, value: str, out: str, by: str | None = None) -> DataFrame:
     """rows with average-tie ranks of a value, NULLs left out. Without `by`, ranks come from counts of distinct
-    values: the running sum covers distinct values, not rows."""
+    values, summed by ranges: no task sorts all values."""
     keys = [by] if by else []
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.withColumn(out, F.sum("_n").over(w) - (F.col("_n") - 1) / 2.0).drop("_n")
+    if by:
+        w = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        totals = counts.withColumn("_total", F.sum("_n").over(w))
+    else:
+        totals = running_total(counts, value, "_n", "_total")
+    ranks = totals.withColumn(out, F.col("_total") - (F.col("_n") - 1) / 2.0).drop("_n", "_total")
     return rows.join(ranks, [*keys, value])
 
 
@@ -135,16 +141,33 @@ def regression_metrics(rows: DataFrame, truth: str, predicted: str) -> DataFrame
     return rows.agg(F.count("*").alias("n"), (1 - F.try_divide(F.sum(e * e), F.var_pop(truth) * F.count("*"))).alias("r2"), F.sqrt(F.avg(e * e)).alias("rmse"))
 
 
+def drawn_others(vectors: DataFrame, k: int) -> DataFrame:
+    """i, j: k different other rows for every row, each other row as likely as any: n * k rows, never all pairs.
+
+    Rows stand in a ring by row_index. From a hashed place behind its own, a row takes k places that are even steps apart.
+    """
+    ring = dense_numbers(vectors.select(F.col("row_index").cast("bigint").alias("i")), "i", "at")
+    others = ring.agg((F.count("*") - 1).alias("others"))
+    begin = F.conv(F.substring(F.md5(F.col("i").cast("string").cast("binary")), 1, 15), 16, 10).cast("bigint")
+    takes = F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(k).cast("bigint"), F.col("others")) - 1))
+    rows = ring.crossJoin(F.broadcast(others)).where("others > 0").withColumn("begin", begin).withColumn("m", takes)
+    step = F.greatest(F.expr(f"others div {k}"), F.lit(1))
+    place = F.pmod(F.col("at") + 1 + F.pmod(F.col("begin") + F.col("m") * step, F.col("others")), F.col("others") + 1)
+    return rows.select("i", place.alias("at")).join(ring.withColumnRenamed("i", "j"), "at").select("i", "j")
+
+
 def neighbor_consistency(vectors: DataFrame, features: DataFrame, k: int, clip_at: float = 0.99, floor: float = 1e-3, candidates: DataFrame | None = None) -> DataFrame:
     """feature, n, ratio_mean, ratio_median: a feature's mean absolute difference to the k nearest (cosine) over that to k
     hash-drawn others, clipped at the quantile `clip_at`.
 
     features: row_index, feature, x (NULL left out). candidates: pairs (i, j) that both choices are limited to.
     """
-    near = knn(vectors, k) if candidates is None else _gated(vectors, candidates, k)
-    pool = candidates if candidates is not None else vectors.select(F.col("row_index").alias("i")).crossJoin(F.broadcast(vectors.select(F.col("row_index").alias("j")))).where("i <> j")
-    draw = F.md5(F.concat_ws("-", F.col("i").cast("string"), F.col("j").cast("string")).cast("binary"))
-    drawn = pool.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(draw, "j"))).where(F.col("rank") <= k)
+    if candidates is None:
+        near, drawn = knn(vectors, k), drawn_others(vectors, k)
+    else:
+        near = _gated(vectors, candidates, k)
+        draw = F.md5(F.concat_ws("-", F.col("i").cast("string"), F.col("j").cast("string")).cast("binary"))
+        drawn = candidates.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(draw, "j"))).where(F.col("rank") <= k)
     xs = features.where("x is not null")
 
     def mean_gap(pairs: DataFrame, name: str) -> DataFrame:

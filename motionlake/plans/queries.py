@@ -374,7 +374,9 @@ def label_names(spark, d):
 
 
 @query("neighbor_consistency", f"""WITH {sql.KNN(5, sql.COS('a.v', 'b.v'))},
-    drawn AS (SELECT a.row_index AS i, b.row_index AS j FROM vectors a JOIN vectors b ON a.row_index <> b.row_index QUALIFY row_number() OVER (PARTITION BY a.row_index ORDER BY md5(a.row_index || '-' || b.row_index), b.row_index) <= 5),
+    ring AS (SELECT row_index AS i, row_number() OVER (ORDER BY row_index) - 1 AS pos, count(*) OVER () - 1 AS others, cast('0x' || substr(md5(row_index::VARCHAR), 1, 15) AS BIGINT) AS skip FROM vectors),
+    places AS (SELECT i, (pos + 1 + (skip + m * greatest(others // 5, 1)) % others) % (others + 1) AS pos FROM (SELECT *, unnest(range(0, least(5, others))) AS m FROM ring)),
+    drawn AS (SELECT p.i, r.i AS j FROM places p JOIN ring r USING (pos)),
     x AS (SELECT row_index, 'label' AS feature, label::DOUBLE AS x FROM vectors UNION ALL SELECT row_index, 'first', v[1] FROM vectors),
     e AS (SELECT n.i, a.feature, avg(abs(a.x - b.x)) AS e FROM near n JOIN x a ON a.row_index = n.i JOIN x b ON b.row_index = n.j AND b.feature = a.feature GROUP BY ALL),
     r AS (SELECT n.i, a.feature, avg(abs(a.x - b.x)) AS r FROM drawn n JOIN x a ON a.row_index = n.i JOIN x b ON b.row_index = n.j AND b.feature = a.feature GROUP BY ALL),

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import running_total
 from ..functions.scalar import to_int
 
 NUMBERS = ("policy_id", "source_index", "start", "window_len")
@@ -42,9 +43,9 @@ def infer_policy(rows: DataFrame, source: str = "source_key") -> DataFrame:
 
 
 def dense_numbers(rows: DataFrame, key: str, name: str = "number") -> DataFrame:
-    """rows with 0-based numbers of distinct keys in order: numbered on the distinct keys, joined back."""
-    numbers = rows.select(key).distinct().withColumn(name, F.dense_rank().over(Window.orderBy(key)).cast("bigint") - 1)
-    return rows.join(numbers, key)
+    """rows with 0-based numbers of distinct keys in order: numbered on the distinct keys by ranges, joined back."""
+    numbers = running_total(rows.select(key).distinct().withColumn("_one", F.lit(1).cast("bigint")), key, "_one", name)
+    return rows.join(numbers.select(key, (F.col(name) - 1).alias(name)), key)
 
 
 def first_names(rows: DataFrame, key: str = "policy_id", name: str = "policy_name") -> DataFrame:
