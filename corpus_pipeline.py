@@ -15,7 +15,8 @@ from motionlake.llm.common import materialize, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or a certified cutoff go."""
+    """Documents that fail the base rules or a certified cutoff go; null, empty and short texts (under 50 words) are among them.
+    Repeated rows stay or go together, other columns pass through, and an empty table gives an empty one."""
     return rules.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -30,7 +31,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: documents are left out or repeated."""
+    """Sources at their target weights: documents are left out or repeated, twice at most. Null texts have no words and are
+    copied by their fraction; repeated rows are decided each. Other columns pass through, and an empty table gives an empty one."""
     return mixing.mixed_documents(docs)
 
 
