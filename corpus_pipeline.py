@@ -2,7 +2,7 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. All but the
 last return the columns of documents. `run` applies them in order, writing each stage's rows as Parquet in the
-shared folder and reading them again.
+shared folder and reading them again; what a stage has read is deleted once its own rows are written.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from motionlake.llm import bpe, linededup, mixing, neardup, rules
-from motionlake.llm.common import materialize, table
+from motionlake.llm.common import discard, materialize, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,5 +48,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        discard(before)  # no later stage reads it
     return STAGES[-1][1](spark, docs, sf_dir)
