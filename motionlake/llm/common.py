@@ -53,6 +53,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame, *keys: str) -> DataFrame:
+    """doc_id, text, the other keys, and row: a struct of all columns of docs, whose names then clash with none of an operator's own."""
+    return docs.select(*dict.fromkeys(("doc_id", "text", *keys)), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, changed: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of docs from the struct of `packed`, some of them replaced."""
+    changed = {k.lower(): v for k, v in (changed or {}).items()}
+    return rows.select(*(changed.get(c.lower(), F.col("row").getField(c)).alias(c) for c in docs.columns))
+
+
 def word_list(text: Column) -> Column:
     """The words of a text; none for null, an empty text or white space only."""
     inner = F.trim(F.translate(text, SPACES, " " * len(SPACES)))

@@ -3,8 +3,10 @@
 A line (between line feeds) with a word repeats an earlier one if both are equal, or if their edit distance
 (insertions, deletions, substitutions of code points) is at most one for each `per_edit` characters of the
 shorter line, and at most `threshold`: one edit from 20 characters on and two from 40 on; shorter lines repeat only if
-equal. Classes are the components of that relation; of each class the first line in the order (doc_id,
-text digest, position) stays, all others go. Blank lines stay.
+equal. Of equal lines the first in the order (doc_id, text digest, position) stays. Of different lines, one goes only if it is
+within the threshold of one that stays and comes before it, so nothing is lost along chains of small changes: lines are taken in the order of a
+hash of the document in which they first stand, then of their own digest, and a line stays unless one that stays is near.
+That order keeps the lines of one document together, and being random it settles in few rounds. Blank lines stay.
 
 * Equal lines are one node: an aggregate by a 128-bit digest, which combines before its shuffle.
 * Segments: a line of length n that allows t edits is cut into t + 1 even segments. A line within t edits
@@ -13,17 +15,17 @@ text digest, position) stays, all others go. Blank lines stay.
   substrings that the match-aware window allows: 12 for t = 2.
 * Candidates meet in an equi-join on the hashed key. The join's condition also compares parities of
   character counts in 64 classes: an edit changes at most two, so no pair within the threshold is lost.
-* A key of more than HEAVY index entries doesn't meet its probes. What is left of each of its lines without the segment
-  is cut into t + 1 segments in turn, of which one is whole again, and so on for LEVELS levels: lines that share a
-  part meet only if they share more, and no pair is lost. Keys still heavy at the last level are joined as they
-  are; their lines agree in seven tenths or so. Index entries are made different first, so a line that stands in many
-  tasks is met once and makes no key heavy by itself.
+* A key of more than HEAVY index entries doesn't meet its probes. Its lines, all of one length, are cut anew where they differ: a bounded sample of
+  them tells at which characters, and each of the t + 1 new segments gets an even share of the differences. Any cuts let a pair share one
+  segment, so no pair is lost, and lines that agree in all but a twentieth are told apart by that twentieth. Keys that are
+  still heavy are cut again, LEVELS times; those of the last level are joined as they are, and their lines differ in little.
+  Index entries are made different first, so a line that stands in many tasks is met once and makes no key heavy by itself.
 * Candidates are confirmed on the lines themselves by a banded bit-parallel edit distance. Their texts
   are fetched by a broadcast of the candidates' ids while these are few (`BROADCAST_IDS`), and by a shuffle
   join beyond.
 
 Null texts have no lines. Rows that repeat a doc_id and text are treated alike: their lines stay or go together.
-Empty tables give empty results. `deduped` passes extra columns through and drops documents that had a
+Empty tables give empty results. `deduped` passes extra columns through, whatever their names are, and drops documents that had a
 word and have none left; their lines stand elsewhere.
 """
 
@@ -37,13 +39,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, map_pandas, materialize
-from .components import components
+from .common import WORD, discard, map_pandas, materialize, packed, unpacked
 
 THRESHOLD, PER_EDIT = 2, 20
-#: Index entries beyond which a key is heavy, and how often heavy keys are refined.
-HEAVY, LEVELS = 256, 2
-BROADCAST_IDS = 2_000_000
+#: Index entries beyond which a key is heavy, how often heavy keys are cut anew, and lines that tell where, about.
+HEAVY, LEVELS, SAMPLE = 256, 4, 128
+BROADCAST_IDS, BROADCAST_CUTS = 2_000_000, 20_000
 #: Characters of lines whose keys are made at once, and lines that a task remembers.
 CHUNK, SEEN = 1_000_000, 300_000
 
@@ -60,10 +61,11 @@ def segments(n: int, threshold: int) -> list[tuple[int, int]]:
     return out
 
 
-def windows(n: int, length: int, threshold: int) -> list[tuple[int, int, int]]:
-    """Segment, start and size of the substrings that a line of n characters looks up among lines of `length`, which is no more."""
-    more, out = n - length, []
-    for i, (at, size) in enumerate(segments(length, threshold)):
+def windows(n: int, length: int, spans: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Segment, start and size of the substrings that a line of n characters looks up among lines of `length`, which is
+    no more. spans: start and size of the segments of those, one more than the errors allowed."""
+    more, out, threshold = n - length, [], len(spans) - 1
+    for i, (at, size) in enumerate(spans):
         rest = threshold - i  # errors right of the segment; i errors left of it
         low, high = max(at - i, at + more - rest, 0), min(at + i, at + more + rest, n - size)
         out += [(i, p, size) for p in range(low, high + 1)]
@@ -76,7 +78,7 @@ def probes(n: int, threshold: int, per_edit: int = 1) -> list[tuple[int, int, in
     for length in range(max(n - threshold, 1), n + 1):
         t = min(threshold, length // per_edit)
         if 0 < t < length and n - length <= t:
-            out += [(length, *w) for w in windows(n, length, t)]
+            out += [(length, *w) for w in windows(n, length, segments(length, t))]
     return out
 
 
@@ -149,10 +151,6 @@ def _places(threshold: int, per_edit: int, probing: bool):
     return places
 
 
-def _key(part: str, length: int, i: int) -> int:
-    return xxhash.xxh3_64_intdigest(part.encode(), length << 6 | i)
-
-
 def _keys(docs: DataFrame, threshold: int, per_edit: int, probing: bool) -> DataFrame:
     """key, id, n, parity: index entries or probes of each line that allows an edit, once per task and line."""
 
@@ -194,32 +192,49 @@ def _keys(docs: DataFrame, threshold: int, per_edit: int, probing: bool) -> Data
     return map_pandas(docs.select("text"), run, "key long, id long, n int, parity long")
 
 
+def cuts(lines: list[str], t: int) -> list[int]:
+    """Starts of t + 1 segments of lines of one length, after the first: each has an even share of what differs between the lines."""
+    n = len(lines[0])
+    chars = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4").reshape(len(lines), n)
+    differ = np.min([(chars != row).mean(0) for row in chars[:8]], axis=0)  # a line unlike all others tells nothing
+    share = np.cumsum(differ + 1e-3 / n)
+    found = np.searchsorted(share, share[-1] * np.arange(1, t + 1) / (t + 1)) + 1
+    low, high = np.arange(1, t + 1), n - np.arange(t, 0, -1)
+    return np.clip(np.maximum.accumulate(found - low) + low, low, high).tolist()
+
+
+def _cut_anew(index: DataFrame, heavy: DataFrame, lines: DataFrame, threshold: int, per_edit: int) -> DataFrame:
+    """key, length, starts (of segments after the first) for each heavy key (key, count)."""
+    few = index.join(heavy, "key").where(F.pmod(F.xxhash64("id", "key"), F.col("count")) < SAMPLE).select("key", "id")
+
+    @F.pandas_udf("array<int>")
+    def starts(groups: pd.Series) -> pd.Series:
+        return pd.Series([cuts(list(g), min(threshold, len(g[0]) // per_edit)) for g in groups])
+
+    grouped = few.join(lines, "id").groupBy("key").agg(F.array_sort(F.collect_list("line")).alias("some"))  # SAMPLE lines or so of each key
+    # a key without a line in the sample is cut evenly
+    made = grouped.select("key", F.length(F.get("some", F.lit(0))).alias("length"), starts("some").alias("starts"))
+    rest = index.join(heavy, "key", "left_semi").groupBy("key").agg(F.min("n").alias("own"))
+    both = rest.join(made.withColumnRenamed("key", "cut_key"), F.col("key") == F.col("cut_key"), "left")
+    return both.select("key", F.col("own").alias("length"), "starts")
+
+
 def _finer(rows: DataFrame, threshold: int, per_edit: int, probing: bool) -> DataFrame:
-    """Keys of what is left of each line. rows: key, id, n, parity, length, cuts, line; without cuts, the segment that
-    made the key is looked up in the line. cuts: start and size of each segment taken out so far."""
+    """Keys by the cuts of each heavy key. rows: key, id, n, parity, length, starts, line."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        places = _places(threshold, per_edit, probing)
         for batch in batches:
             out = []
-            for key, line_id, n, parity, length, cuts, line in zip(*(batch[c] for c in ("key", "id", "n", "parity", "length", "cuts", "line")), strict=True):
-                if cuts is None:
-                    own = key & (1 << 64) - 1
-                    states = [(w[0], [w[2], w[3]]) for w in places(n) if _key(line[w[2] : w[2] + w[3]], w[0], w[1]) == own]
-                else:
-                    states = [(length, list(cuts))]
-                for at_length, taken in states:
-                    rest = line
-                    for p, size in zip(taken[::2], taken[1::2], strict=True):
-                        rest = rest[:p] + "\n" + rest[p + size :]
-                    t, m = min(threshold, at_length // per_edit), len(rest)
-                    for i, p, size in windows(m, at_length + m - n, t):
-                        finer = xxhash.xxh3_64_intdigest(rest[p : p + size].encode(), (key * 2654435761 + i + 1) & (1 << 64) - 1)
-                        out.append((finer, line_id, n, parity, at_length, [*taken, p, size]))
-            made = pd.DataFrame(out, columns=["key", "id", "n", "parity", "length", "cuts"])
+            for key, line_id, n, parity, length, starts, line in zip(*(batch[c] for c in ("key", "id", "n", "parity", "length", "starts", "line")), strict=True):
+                ends = [*starts, length] if starts is not None else [at + size for at, size in segments(length, min(threshold, length // per_edit))]
+                spans = [(x, y - x) for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+                for i, p, size in windows(n, length, spans) if probing else [(i, *x) for i, x in enumerate(spans)]:
+                    finer = xxhash.xxh3_64_intdigest(line[p : p + size].encode(), (key * 2654435761 + i + 1) & (1 << 64) - 1)
+                    out.append((finer, line_id, n, parity))
+            made = pd.DataFrame(out, columns=["key", "id", "n", "parity"])
             yield made.assign(key=made["key"].astype(np.uint64).to_numpy().view(np.int64))
 
-    return map_pandas(rows, run, "key long, id long, n int, parity long, length int, cuts array<int>")
+    return map_pandas(rows, run, "key long, id long, n int, parity long")
 
 
 def _lines(docs: DataFrame, ids: DataFrame, per_edit: int) -> DataFrame:
@@ -236,25 +251,23 @@ def _lines(docs: DataFrame, ids: DataFrame, per_edit: int) -> DataFrame:
 
 
 def _met(index: DataFrame, probe: DataFrame, heavy: DataFrame, threshold: int) -> DataFrame:
-    """a, b of pairs that meet under a light key; for heavy keys, the probes alone (a null): key, b, b_n, b_parity, and length and cuts where there are any."""
-    more = [c for c in ("length", "cuts") if c in index.columns]
+    """a, b of pairs that meet under a light key; for heavy keys, the probes alone (a null): key, b, b_n, b_parity."""
     light = index.join(heavy, "key", "left_anti").select("key", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("parity").alias("a_parity"))
-    light = light.unionByName(heavy, allowMissingColumns=True)
+    light = light.unionByName(heavy.select("key"), allowMissingColumns=True)
     probe = probe.withColumnsRenamed({"key": "_key", "id": "b", "n": "b_n", "parity": "b_parity"})
     near = F.bit_count(F.col("a_parity").bitwiseXOR(F.col("b_parity"))) <= 2 * threshold
     # of two lines with one length, the larger id probes the smaller
     once = (F.col("a_n") < F.col("b_n")) | (F.col("a") < F.col("b"))
     met = light.join(probe, (F.col("key") == F.col("_key")) & (F.col("a").isNull() | ((F.col("a") != F.col("b")) & once & near)))
     only = lambda c: F.when(F.col("a").isNull(), F.col(c)).alias(c)
-    return met.select("a", "b", *map(only, ("key", "b_n", "b_parity", *more)))
+    return met.select("a", "b", *map(only, ("key", "b_n", "b_parity")))
 
 
 def candidates(docs: DataFrame, threshold: int, per_edit: int, levels: int = LEVELS) -> DataFrame:
     """a, b: ids of different lines that share a segment, or several if it is a common one, and nearly all parities."""
     index, probe, lines, found, done = materialize(_keys(docs, threshold, per_edit, False).distinct()), _keys(docs, threshold, per_edit, True), None, [], []
     for level in range(levels + 1):
-        heavy = index.groupBy("key").count().where(F.col("count") > (HEAVY if level < levels else 1 << 62)).select("key")
-        heavy = materialize(heavy)
+        heavy = materialize(index.groupBy("key").count().where(F.col("count") > (HEAVY if level < levels else 1 << 62)))
         met = materialize(_met(index, probe, heavy, threshold).distinct())
         found.append(met.where("a is not null").select("a", "b"))
         done += [index, heavy, met]
@@ -263,12 +276,16 @@ def candidates(docs: DataFrame, threshold: int, per_edit: int, levels: int = LEV
         index = index.join(heavy, "key", "left_semi")
         probe = met.where("a is null").withColumnsRenamed({"b": "id", "b_n": "n", "b_parity": "parity"}).drop("a")
         if lines is None:
-            lines = materialize(_lines(docs, materialize(index.select("id").union(probe.select("id")).distinct()), per_edit))
-            done.append(lines)
-            index, probe = (x.withColumns({"length": F.lit(None).cast("int"), "cuts": F.lit(None).cast("array<int>")}) for x in (index, probe))
-        columns = ("key", "id", "n", "parity", "length", "cuts", "line")
-        index = materialize(_finer(index.join(lines, "id").select(*columns), threshold, per_edit, False))
-        probe = _finer(probe.join(lines, "id").select(*columns), threshold, per_edit, True)
+            wanted = materialize(index.select("id").union(probe.select("id")).distinct())
+            lines = materialize(_lines(docs, wanted, per_edit))
+            done += [wanted, lines]
+        anew = materialize(_cut_anew(index, heavy, lines, threshold, per_edit))
+        done.append(anew)
+        at = F.broadcast(anew) if anew.count() <= BROADCAST_CUTS else anew
+        columns = ("key", "id", "n", "parity", "length", "starts", "line")
+        index = materialize(_finer(index.join(at, "key").join(lines, "id").select(*columns), threshold, per_edit, False).distinct())
+        probe = materialize(_finer(probe.join(at, "key").join(lines, "id").select(*columns), threshold, per_edit, True).distinct())
+        done.append(probe)
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
@@ -289,21 +306,44 @@ def links(docs: DataFrame, threshold: int = THRESHOLD, per_edit: int = PER_EDIT)
         return pd.Series([within(p, q, min(threshold, min(len(p), len(q)) // per_edit)) for p, q in zip(x, y, strict=True)], dtype=bool)
 
     name = lambda c: F.unhex(F.md5(F.col(c).cast("binary")))
-    return both.where(close("x", "y")).select(name("x").alias("a"), name("y").alias("b"))
+    out = materialize(both.where(close("x", "y")).select(name("x").alias("a"), name("y").alias("b")))
+    discard(pairs, wanted, known)
+    return out
+
+
+def followers(links: DataFrame, order: DataFrame) -> DataFrame:
+    """line_id of every line that goes: one within the threshold of a line that stays and comes before it. links: a, b; order: line_id, rank.
+
+    A line before which no undecided one is near stays, and those near it go; so on with the rest. The order being
+    random, the rounds grow with the logarithm of the lines. Each round writes what is left to the shared folder.
+    """
+    rank = lambda x: order.select(F.col("line_id").alias(x), F.struct("rank", F.col("line_id")).alias(f"{x}_rank"))
+    ranked = links.join(rank("a"), "a").join(rank("b"), "b")
+    first = F.col("a_rank") < F.col("b_rank")
+    edges = materialize(ranked.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("before"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("after")).distinct())
+    gone = []
+    while not edges.isEmpty():
+        stay = edges.select("before").distinct().join(edges.select(F.col("after").alias("before")), "before", "left_anti")
+        gone.append(materialize(edges.join(stay, "before", "left_semi").select(F.col("after").alias("line_id")).distinct()))
+        rest = edges.join(gone[-1].select(F.col("line_id").alias("after")), "after", "left_anti").join(gone[-1].select(F.col("line_id").alias("before")), "before", "left_anti")
+        done, edges = edges, materialize(rest)
+        discard(done)
+    out = order.select("line_id").limit(0)
+    for x in gone:
+        out = out.unionByName(x)
+    return out
 
 
 def dropped_lines(docs: DataFrame, threshold: int = THRESHOLD, per_edit: int = PER_EDIT) -> DataFrame:
     """doc_id, digest, dropped (positions, ascending), n_near (of them, those equal to no line that stays) for texts that lose lines."""
     found = materialize(occurrences(docs))
     first = materialize(found.groupBy("line_id").agg(F.min(F.struct("doc_id", "digest", "pos")).alias("first")))
-    named = components(links(docs, threshold, per_edit))
-    classes = first.join(named.withColumnRenamed("node", "line_id"), "line_id").select("line_id", "component", "first")
-    heads = classes.groupBy("component").agg(F.min("first").alias("head"))
-    moved = materialize(classes.join(heads, "component").select("line_id", "head"))
-    stays = first.join(moved, "line_id", "left").select("line_id", F.coalesce("head", "first").alias("head"), F.coalesce(F.col("head") != F.col("first"), F.lit(False)).alias("near"))
+    order = first.select("line_id", F.xxhash64("first.doc_id", "first.digest").alias("rank"))
+    near = followers(links(docs, threshold, per_edit), order).withColumn("near", F.lit(True))
+    stays = first.join(near, "line_id", "left").select("line_id", "first", F.coalesce("near", F.lit(False)).alias("near"))
     stays = materialize(stays)  # so that the join that follows can split a common line
-    discard(first, moved)
-    mark = found.join(stays, "line_id").where(~F.struct("doc_id", "digest", "pos").eqNullSafe(F.col("head")))
+    discard(first)
+    mark = found.join(stays, "line_id").where(F.col("near") | ~F.struct("doc_id", "digest", "pos").eqNullSafe(F.col("first")))
     return mark.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set("pos")).alias("dropped"), F.countDistinct(F.when(F.col("near"), F.col("pos"))).alias("n_near"))
 
 
@@ -311,7 +351,7 @@ def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, per_edit: int = PER_
     """doc_id, n_lines (with a word), n_kept, n_near, dropped (positions) for every row of docs."""
     lines = F.coalesce(F.size(F.filter(F.split("text", "\n", -1), _has_word)), F.lit(0))
     rows = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.when(F.col("text").isNull(), 0).otherwise(lines).cast("long").alias("n_lines"))
-    gone = dropped_lines(docs, threshold, per_edit).withColumnsRenamed({"doc_id": "_doc", "digest": "_digest"})
+    gone = dropped_lines(docs.select("doc_id", "text"), threshold, per_edit).withColumnsRenamed({"doc_id": "_doc", "digest": "_digest"})
     both = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_digest")), "left")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
     return both.select("doc_id", "n_lines", (F.col("n_lines") - F.size(dropped)).alias("n_kept"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), dropped.alias("dropped"))
@@ -319,12 +359,15 @@ def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, per_edit: int = PER_
 
 def deduped(docs: DataFrame, threshold: int = THRESHOLD, per_edit: int = PER_EDIT) -> DataFrame:
     """docs with the lines that stay, and with the columns of docs; n_chars, where there is one, follows the text."""
-    gone = dropped_lines(docs, threshold, per_edit).withColumnsRenamed({"doc_id": "_doc", "digest": "_digest", "dropped": "_dropped"}).drop("n_near")
-    own = docs.withColumn("_own", F.xxhash64("text"))
-    both = own.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_digest")), "left")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("_dropped", i)), "\n")
-    out = both.withColumn("text", F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(left))
-    out = out.where(F.col("_dropped").isNull() | _has_word(F.col("text")))
+    gone = dropped_lines(docs.select("doc_id", "text"), threshold, per_edit).withColumnsRenamed({"doc_id": "gone_doc", "digest": "gone_digest"}).drop("n_near")
+    own = packed(docs).withColumn("digest", F.xxhash64("text"))
+    both = own.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_doc")) & (F.col("digest") == F.col("gone_digest")), "left")
+    lines = F.split("text", "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped"))  # by a hash set, however many go
+    left = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    same = F.col("dropped").isNull()
+    out = both.withColumn("left", F.when(~same, left)).where(same | _has_word(F.col("left")))
+    changed = {"text": F.coalesce("left", "text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_dropped").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(same, F.col("row.n_chars")).otherwise(F.length("left").cast(docs.schema["n_chars"].dataType))
+    return unpacked(out, docs, changed)

@@ -23,12 +23,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, uniform, word_count
+from .common import materialize, packed, uniform, unpacked, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
 #: Sources beyond which the targets are joined by a salted shuffle, not broadcast.
 BROADCAST_SOURCES = 50_000
+#: Marks (of 8 bytes) of rows that repeat an id, text and source, up to which they are broadcast.
+BROADCAST_REPEATED = 1_000_000
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -144,7 +146,18 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: every row of docs as often as it is taken, with the columns of docs."""
-    taken = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_doc"), F.col("dup").alias("_number"), F.col("copies").alias("_copies"))
-    both = _numbered(docs).join(taken, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_dup") == F.col("_number")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The mix itself: every row of docs as often as it is taken, with the columns of docs, whatever their names are.
+
+    Only rows that repeat an id, text and source are numbered by a shuffle; the others are number 1.
+    """
+    taken = mix(docs).where("copies > 0").select(F.col("doc_id").alias("taken_doc"), F.col("dup").alias("taken_dup"), "copies")
+    mark = F.xxhash64("doc_id", F.xxhash64("text"), "source")
+    repeated = materialize(docs.groupBy(mark.alias("mark")).count().where("count > 1").select("mark"))
+    rows, n = packed(docs, "source").withColumns({"digest": F.xxhash64("text"), "mark": mark}), repeated.count()
+    first = rows.withColumn("same", F.lit(1))
+    if n:
+        few = F.broadcast(repeated) if n <= BROADCAST_REPEATED else repeated
+        numbered = rows.join(few, "mark", "left_semi").withColumn("same", F.row_number().over(Window.partitionBy("doc_id", "digest", "source").orderBy(F.lit(0))))
+        first = first.join(few, "mark", "left_anti").unionByName(numbered)
+    both = first.withColumn("dup", F.xxhash64("digest", "source", "same")).join(taken, F.col("doc_id").eqNullSafe(F.col("taken_doc")) & (F.col("dup") == F.col("taken_dup")))
+    return unpacked(both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs)

@@ -14,6 +14,9 @@ shingle. Equal sets are one node of the join from the start, so groups of copies
   Their links join what is one component for the most part. Then every member of such nodes gives its prefix,
   its rarest tokens, of which two sets at the threshold share one at least; by these tokens, pairs that
   aren't yet in one component meet. No pair inside a component is made, and no other pair of the nodes is lost.
+* A set has BITS bits, each of the least value under a hash of its own; two sets at similarity s differ in about (1 - s) / 2 of them. Members of a
+  leaf that differ from all others in it by more than five deviations over what the threshold allows have no link there, and neither their
+  texts nor pairs of them are sent on. So a pair at the threshold is left out with odds of about 10^-6, unlike ones nearly always.
 * Links are confirmed on full sets, made again from the whole texts; a leaf gives a spanning forest
   of its links, never all pairs. Leaves with the same members in several trees are compared once.
 
@@ -25,6 +28,7 @@ table gives an empty result. Columns besides doc_id and text are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, map_pandas, materialize
+from .common import WORD, discard, map_pandas, materialize, packed, unpacked
 from .components import components
 
 #: Buckets of token counts that order prefixes; giant nodes in whose blocks a set stands; pivots of a giant node.
 BUCKETS, MERGES, PIVOTS = 1 << 18, 3, 8
+#: Bits of a set, a multiple of 64; deviations that a pair at the threshold may stray.
+BITS, DEVIATIONS = 512, 5
 #: Sets whose marks of 8 bytes are broadcast at most.
 BROADCAST_IDS = 2_000_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -80,21 +86,43 @@ def tree_paths(tokens: np.ndarray, trees: int, depth: int) -> np.ndarray:
     return out
 
 
+_SEEDS = (_mixed(np.arange(1, BITS + 1, dtype=np.uint64) * _MIX[0]) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
+
+def set_bits(tokens: np.ndarray) -> np.ndarray:
+    """BITS bits of a set, as longs: one of the least value under each of as many hashes of 32 bits."""
+    short, out = (tokens >> np.uint64(32)).astype(np.uint32), np.empty(BITS, np.uint8)
+    rows = max(1, min(BITS, 32_768 // len(tokens)))  # what stays in a core's cache
+    for a in range(0, BITS, rows):
+        h = short[None, :] * _SEEDS[a : a + rows, None]
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x9E3779B1)
+        out[a : a + rows] = (h.min(1) >> np.uint32(9)).astype(np.uint8) & 1
+    return np.packbits(out).view(np.int64)
+
+
+def most_differing(percent: int) -> int:
+    """Bits in which two sets at the threshold differ at most, but for odds of about 10^-6."""
+    p = (1 - percent / 100) / 2
+    return math.ceil(BITS * p + DEVIATIONS * math.sqrt(BITS * p * (1 - p)))
+
+
 def sketches(docs: DataFrame, trees: int, depth: int) -> DataFrame:
-    """doc_id, digest (of the text), n_shingles, sid (set digest, null for the empty set), paths."""
+    """doc_id, digest (of the text), n_shingles, sid (set digest, null for the empty set), paths, bits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            counts, sids, paths = [], [], []
+            counts, sids, paths, bits = [], [], [], []
             for text in batch["text"]:
                 s = shingle_set(text)
+                bits.append(set_bits(s) if len(s) else None)
                 counts.append(len(s))
                 sids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 paths.append(tree_paths(s, trees, depth).ravel().view(np.int64) if len(s) else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "n_shingles": counts, "sid": sids, "paths": paths})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "n_shingles": counts, "sid": sids, "paths": paths, "bits": bits})
 
     sent = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
-    return map_pandas(sent, run, "doc_id string, digest long, n_shingles long, sid binary, paths array<bigint>").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return map_pandas(sent, run, "doc_id string, digest long, n_shingles long, sid binary, paths array<bigint>, bits array<bigint>").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -141,6 +169,29 @@ def _forest(members: list[dict], percent: int) -> list[tuple[bytes, bytes]]:
     return out
 
 
+def _likely(places: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The rows of places (leaf, sid, side, label) that have another in their leaf whose bits are near; each sid once a leaf."""
+    most = most_differing(percent)
+    dealt = places.join(reps.select("sid", "bits"), "sid").select("leaf", "sid", "side", "label", "bits").repartition("leaf").sortWithinPartitions("leaf", "sid")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _groups(batches, "leaf"):
+            members: dict[bytes, dict] = {}
+            for m in group:
+                known = members.setdefault(bytes(m["sid"]), m)
+                known["side"] = known["side"] or m["side"]
+            rows = list(members.values())
+            bits, side = np.stack([m["bits"] for m in rows]).view(np.uint64), np.array([m["side"] for m in rows], bool)
+            near = np.zeros(len(rows), bool)
+            for i in range(1, len(rows)):
+                close = (np.bitwise_count(bits[:i] ^ bits[i]).sum(1) <= most) & (side[:i] | side[i])
+                near[:i] |= close
+                near[i] |= close.any()
+            yield pd.DataFrame([(rows[i]["leaf"], rows[i]["sid"], rows[i]["side"], rows[i]["label"]) for i in np.flatnonzero(near)], columns=["leaf", "sid", "side", "label"])
+
+    return map_pandas(dealt, run, "leaf long, sid binary, side boolean, label binary")
+
+
 def _texts(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (sid, ...) with the text of each set's representative, as often as its row stands in docs. While the sets
     are few, a broadcast of their marks leaves out other texts before the shuffle."""
@@ -153,7 +204,7 @@ def _texts(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _compared(places: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """a, b: confirmed links inside each leaf. places: rows (leaf, sid, side, label)."""
-    sets = places.groupBy("sid").agg(F.collect_list(F.struct("leaf", "side", "label")).alias("at"))
+    sets = _likely(places, reps, percent).groupBy("sid").agg(F.collect_list(F.struct("leaf", "side", "label")).alias("at"))
     found = _texts(docs, reps, sets).select("sid", "text", F.explode("at").alias("x"))
     dealt = found.select("x.leaf", "x.side", "x.label", "sid", "text").repartition("leaf").sortWithinPartitions("leaf", "sid")
 
@@ -185,7 +236,7 @@ def _dealt(giants: DataFrame, leaf: int) -> DataFrame:
 
 
 def _prefixes(texts: DataFrame, percent: int) -> DataFrame:
-    """token, sid, label, size, pos: the tokens of which two sets at the threshold share one at least.
+    """token, sid, label, bits, size, pos: the tokens of which two sets at the threshold share one at least.
 
     Tokens stand in one order for all sets. The first size - ceil(size * percent / 100) + 1 of each set are a prefix;
     sets that share none are below the threshold whatever the order is. Rare tokens come first, by counts in buckets
@@ -205,25 +256,27 @@ def _prefixes(texts: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            firsts, sizes = [], []
+            firsts, sizes, bits = [], [], []
             for text in batch["text"]:
                 s = shingle_set(text)
+                bits.append(set_bits(s))
                 n = len(s) + percent * len(s) // -100 + 1
                 firsts.append(s[np.argsort(common[s % np.uint64(BUCKETS)], kind="stable")[:n]])
                 sizes.append(len(s))
             per = [len(x) for x in firsts]
-            own = batch[["sid", "label"]].assign(size=sizes).loc[np.repeat(batch.index.to_numpy(), per)].reset_index(drop=True)
-            yield own.assign(token=np.concatenate(firsts).view(np.int64), pos=np.concatenate([np.arange(n, dtype=np.int32) for n in per]))[["token", "sid", "label", "size", "pos"]]
+            own = batch[["sid", "label"]].assign(size=sizes, bits=bits).loc[np.repeat(batch.index.to_numpy(), per)].reset_index(drop=True)
+            yield own.assign(token=np.concatenate(firsts).view(np.int64), pos=np.concatenate([np.arange(n, dtype=np.int32) for n in per]))[["token", "sid", "label", "bits", "size", "pos"]]
 
-    return map_pandas(texts, run, "token long, sid binary, label binary, size int, pos int")
+    return map_pandas(texts, run, "token long, sid binary, label binary, bits array<bigint>, size int, pos int")
 
 
 def _stars(giants: DataFrame, named: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, leaf: int) -> DataFrame | None:
     """Rows (leaf, sid, side, label) of what is left to compare among members of giant nodes, or None.
 
     Of a pair in two components, both prefixes hold its first common token. Of each token, the sets outside the
-    token's largest component meet all sets with other labels; sets inside it never meet each other. Lengths and the
-    places of the token drop pairs that can't reach the threshold. A set with its partners is a star, cut into leaves.
+    token's largest component meet all sets with other labels; sets inside it never meet each other. Lengths, the
+    places of the token and the bits drop pairs that can't reach the threshold within the join, so that pages of one template
+    that are unlike otherwise give no rows. A set with its partners is a star, cut into leaves.
     """
     labels = giants.select("node", "sid").join(named.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("component", "sid"))
     mixed = materialize(labels.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("node"))
@@ -235,11 +288,13 @@ def _stars(giants: DataFrame, named: DataFrame, reps: DataFrame, docs: DataFrame
     shares = rows.groupBy("token", "label").agg(F.count("*").alias("k"))
     top = shares.groupBy("token").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("n")).where("top.k < n")
     rows = materialize(rows.join(materialize(top.select("token", F.col("top.label").alias("main"))), "token"))
-    a, b = (rows.select("token", "main", *(F.col(c).alias(f"{c}_{x}") for c in ("sid", "label", "size", "pos"))) for x in "ab")
+    a, b = (rows.select("token", "main", *(F.col(c).alias(f"{c}_{x}") for c in ("sid", "label", "bits", "size", "pos"))) for x in "ab")
     b = b.withColumnsRenamed({"token": "_token", "main": "_main"})
     together = F.col("size_a") + F.col("size_b")
     shared = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
     near = (shared * (100 + percent) >= percent * together) & (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
+    differ = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+    near = near & (differ <= most_differing(percent))
     once = (F.col("label_b") == F.col("main")) | (F.col("sid_a") < F.col("sid_b"))
     met = a.where("label_a <> main").join(b, (F.col("token") == F.col("_token")) & (F.col("label_a") != F.col("label_b")) & once & near)
     pairs = materialize(met.select("sid_a", "label_a", "sid_b", "label_b").distinct())
@@ -255,7 +310,7 @@ def _classes(docs: DataFrame, percent: int, trees: int, depth: int, leaf: int) -
     """Sketches of all rows; and sid, doc, digest, label for every different set: its first document and its component."""
     sketched = materialize(sketches(docs, trees, depth))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "digest")).alias("r")
-    reps = materialize(sketched.where("sid is not null").groupBy("sid").agg(first, F.first("paths").alias("paths")).select("sid", F.col("r.doc_id").alias("doc"), F.col("r.digest").alias("digest"), "paths"))
+    reps = materialize(sketched.where("sid is not null").groupBy("sid").agg(first, F.first("paths").alias("paths"), F.first("bits").alias("bits")).select("sid", F.col("r.doc_id").alias("doc"), F.col("r.digest").alias("digest"), "paths", "bits"))
     path = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.slice("paths", t * depth + 1, depth))
     todo = reps.select("sid", F.posexplode(path).alias("tree", "path"))
     places, giants, done = [], None, []
@@ -307,15 +362,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 12, depth:
 def one_of_each(docs: DataFrame, percent: int = 85, trees: int = 12, depth: int = 3, leaf: int = 64) -> DataFrame:
     """The rows of docs that stay, with the columns of docs: of each group the row that is first by doc_id (nulls last),
     then by text digest, and once if it is repeated. Rows without a word are in no group and stay."""
-    sketched, classes = _classes(docs, percent, trees, depth, leaf)
+    sketched, classes = _classes(docs.select("doc_id", "text"), percent, trees, depth, leaf)
     heads = classes.groupBy("label").agg(F.min(F.struct(F.col("doc").isNull().alias("no"), "doc", "digest")).alias("h"))
-    heads = heads.select(F.col("h.doc").alias("_doc"), F.col("h.digest").alias("_digest"))
-    times = sketched.groupBy(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")).agg(F.count("*").alias("_times"))
-    same = [F.col("_doc").eqNullSafe(F.col("_doc2")), F.col("_digest") == F.col("_digest2")]
-    heads = materialize(heads.join(times.withColumnsRenamed({"_doc": "_doc2", "_digest": "_digest2"}), same).select("_doc", "_digest", "_times"))
-    own = docs.withColumn("_own", F.xxhash64("text"))
+    heads = heads.select(F.col("h.doc").alias("head"), F.col("h.digest").alias("head_digest"))
+    times = sketched.groupBy(F.col("doc_id").alias("own"), F.col("digest").alias("own_digest")).agg(F.count("*").alias("times"))
+    same = [F.col("head").eqNullSafe(F.col("own")), F.col("head_digest") == F.col("own_digest")]
+    heads = materialize(heads.join(times, same).select("head", "head_digest", "times"))
+    rows = packed(docs).withColumn("digest", F.xxhash64("text"))
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
-    out = own.where(~blank).join(heads, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_digest")))
-    if not heads.where("_times > 1").isEmpty():  # repeated rows: one of them
-        out = out.where("_times = 1").unionByName(out.where("_times > 1").dropDuplicates(["_doc", "_digest"]))
-    return out.select(*docs.columns).unionByName(docs.where(blank))
+    out = rows.where(~blank).join(heads, F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("digest") == F.col("head_digest")))
+    if not heads.where("times > 1").isEmpty():  # repeated rows: one of them
+        out = out.where("times = 1").unionByName(out.where("times > 1").dropDuplicates(["head", "head_digest"]))
+    return unpacked(out, docs).unionByName(docs.where(blank))

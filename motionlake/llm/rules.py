@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, materialize, word_list
+from .common import SPACES, WORD, materialize, packed, unpacked, word_list
 
 SYMBOLS = "#*$%&|<>"
 LANGUAGES = ("de", "en", "es", "fr")
@@ -147,11 +147,12 @@ def certified(holdout: DataFrame, risk: float = 0.02, delta: float = 0.05) -> Da
         # rejections above the mean n * alpha can't be certified, so the tail is summed up to there only
         tried = [F.when(F.col(f"{r}_{i}") <= F.col("_n") * alpha, F.when(log_binomial_tail(F.col("_n"), F.col(f"{r}_{i}"), alpha) <= level, F.lit(c))) for i, c in enumerate(RULES[r][1])]
         picked.append(F.array_min(F.array(*tried)).alias(f"_cut_{r}"))
-    return counts.select(F.explode(F.filter(F.array(*map(F.lit, STRATA)), lambda s: named[s] == F.col("_pool"))).alias("_stratum"), *picked)
+    return counts.select(F.explode(F.filter(F.array(*map(F.lit, STRATA)), lambda s: named[s] == F.col("_pool"))).alias("_stratum"), F.col("_pool"), F.col("_n").alias("_pool_texts"), *picked)
 
 
 def judged(measured_docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """measured_docs with `_kept`: false if base_failed or beyond any certified cutoff of its stratum."""
+    """measured_docs with `_kept`: false if base_failed or beyond any certified cutoff of its stratum; with `_stratum`, and with `_pool` and
+    `_pool_texts`: the strata for which together the risk is guaranteed, and from how many different good texts (null where nothing is certified)."""
     good = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = 1 and hi = 1").select(F.col("doc_id").alias("_labelled"))
     stats = measured_docs.select("doc_id", "lang", *(c for c in measured_docs.columns if c.startswith(PREFIX)))
     cuts = certified(stats.where(~F.col(f"{PREFIX}base_failed")).join(good, F.col("doc_id") == F.col("_labelled"), "left_semi"), risk, delta)
@@ -159,17 +160,19 @@ def judged(measured_docs: DataFrame, labels: DataFrame, risk: float = 0.02, delt
     beyond = F.lit(False)
     for r in RULES:
         beyond = beyond | F.coalesce(_stat(r) > F.col(f"_cut_{r}"), F.lit(False))
-    return out.withColumn("_kept", ~F.col(f"{PREFIX}base_failed") & ~beyond).drop("_stratum", *(f"_cut_{r}" for r in RULES))
+    return out.withColumn("_kept", ~F.col(f"{PREFIX}base_failed") & ~beyond).drop(*(f"_cut_{r}" for r in RULES))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, **risk) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for every row."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, stratum, guaranteed_for, guaranteed_texts for every
+    row. The false rejection is limited for guaranteed_for as a whole: the stratum itself where it has texts enough, else a pool of strata."""
     p = PREFIX
     narrow = materialize(measured(docs.select("doc_id", "lang", "text")).drop("text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    return judged(narrow, labels, **risk).select("doc_id", *(F.col(p + x).alias(x) for x in names), F.col("_kept").alias("kept"))
+    return judged(narrow, labels, **risk).select("doc_id", *(F.col(p + x).alias(x) for x in names), F.col("_kept").alias("kept"), F.col("_stratum").alias("stratum"), F.col("_pool").alias("guaranteed_for"), F.col("_pool_texts").alias("guaranteed_texts"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **risk) -> DataFrame:
-    """The rows of docs that pass, with the columns of docs."""
-    return judged(materialize(measured(docs)), labels, **risk).where("_kept").select(*docs.columns)
+    """The rows of docs that pass, with the columns of docs, whatever their names are."""
+    rows = materialize(measured(packed(docs, "lang")).drop("text"))  # the text is in the row
+    return unpacked(judged(rows, labels, **risk).where("_kept"), docs)

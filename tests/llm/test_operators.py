@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import sys
@@ -541,6 +542,52 @@ def test_unlike_documents_of_one_node_meet_seldom(spark, monkeypatch):
     assert 0 < large <= 3 * small
 
 
+def template_pages(n, seed=6):
+    """Pages of one template, the rest of each from a pool of 40 phrases: none at the threshold, all with much in common."""
+    rng = random.Random(seed)
+    head = [f"h{i}" for i in range(330)]
+    pool = [[f"p{k}x{i}" for i in range(22)] for k in range(40)]
+    return [(i, " ".join(head + [w for k in rng.sample(range(40), 10) for w in pool[k]])) for i in range(n)]
+
+
+def test_pages_of_one_template_give_few_rows(spark, monkeypatch):
+    """Likely rows and stars of pages that are no near copies do not grow with the square of their number."""
+    sums, likely, stars = [], neardup._likely, neardup._stars
+    found = []
+
+    def counting(*args):
+        out = likely(*args)
+        found.append(out.count())
+        return out
+
+    def counted(*args):
+        out = stars(*args)
+        found.append(out.count() if out is not None else 0)
+        return out
+
+    monkeypatch.setattr(neardup, "_likely", counting)
+    monkeypatch.setattr(neardup, "_stars", counted)
+    for n in (200, 400, 800):
+        found.clear()
+        rows = template_pages(n)
+        got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        _, comp = plain_near(rows, 85) if n == 200 else (None, None)
+        assert comp is None or got == {rows[k][0]: rows[c][0] for k, c in comp.items()}
+        sums.append(sum(found))
+    assert sums[1] <= 2.5 * sums[0] + 200 and sums[2] <= 2.5 * sums[1] + 200
+
+
+def test_bits_of_near_sets_are_near():
+    rng = np.random.default_rng(5)
+    for size, percent in ((20, 85), (40, 80), (300, 85), (5000, 80)):
+        both = math.ceil(2 * size * percent / (100 + percent))
+        for _ in range(200 if size < 5000 else 10):
+            u = rng.integers(0, 2**63, 2 * size - both).astype(np.uint64)
+            a, b, c = np.sort(u[:size]), np.sort(u[size - both :]), np.sort(rng.integers(0, 2**63, size).astype(np.uint64))
+            bits = [neardup.set_bits(x).view(np.uint64) for x in (a, b, c)]
+            assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= neardup.most_differing(percent) < np.bitwise_count(bits[0] ^ bits[2]).sum()
+
+
 def test_residual_pairs_of_a_giant_node_are_found(spark):
     """Among many unlike documents of one node, planted pairs at and just below the threshold, by the exact pass alone."""
     rng = random.Random(4)
@@ -640,15 +687,25 @@ def test_probes_meet_every_pair_within_the_threshold():
             assert any((n, i, long[p : p + z]) in index for n, i, p, z in linededup.probes(len(long), t))
 
 
-def plain_dropped(rows, threshold, per_edit):
-    """Dropped positions per (doc_id, text)."""
+def plain_dropped(spark, rows, threshold, per_edit):
+    """Dropped positions per (doc_id, text): equal lines after the first, and lines near one that stays and comes before them."""
+    ranked = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.xxhash64("text").alias("digest"))
+    digest = {(r["doc_id"], r["text"]): (r["digest"], r["rank"]) for r in ranked.withColumn("rank", F.xxhash64("doc_id", "digest")).collect()}
+    spots = sorted((i, digest[i, t][0], p, line, digest[i, t][1], t) for i, t in rows for p, line in enumerate((t or "").split("\n")) if split(line))
     first = {}
-    spots = [(i, t, p, line) for i, t in rows for p, line in enumerate((t or "").split("\n")) if split(line)]
-    lines = sorted({s[3] for s in spots})
-    near = lambda a, b: linededup.within(a, b, min(threshold, min(len(a), len(b)) // per_edit))
-    pairs = [(a, b) for k, a in enumerate(lines) for b in lines[:k] if abs(len(a) - len(b)) <= threshold and near(a, b)]
-    comp = plain_components(lines, pairs)
-    return spots, comp, first
+    for spot in spots:
+        first.setdefault(spot[3], spot)
+    near = lambda a, b: abs(len(a) - len(b)) <= threshold and distance(a, b) <= min(threshold, min(len(a), len(b)) // per_edit)
+    stay = []
+    for line in sorted(first, key=lambda x: (first[x][4], hashlib.md5(x.encode()).digest())):
+        if not any(near(line, x) for x in stay):
+            stay.append(line)
+    kept, want, n_near = set(stay), defaultdict(set), Counter()
+    for i, d, p, line, _, t in spots:
+        if line not in kept or first[line][:3] != (i, d, p):
+            n_near[i, t] += line not in kept and p not in want[i, t]
+            want[i, t].add(p)
+    return want, n_near
 
 
 def test_line_dedup_equals_brute_force(spark, monkeypatch):
@@ -660,31 +717,39 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch):
         rows.append((i, "\n".join(lines)))
     rows += [(100, None), (101, ""), (102, "\n \n"), (103, rows[0][1])]
     docs = spark.createDataFrame([(*r, 3, "x") for r in rows], "doc_id long, text string, n_chars long, pos string").repartition(4)
-    spots, comp, _ = plain_dropped(rows, 2, 20)
-    heads = {}
-    for i, _, p, line in sorted(spots, key=lambda s: (s[0], s[2])):
-        heads.setdefault(comp[line], (i, p))
-    want = defaultdict(list)
-    for i, _, p, line in spots:
-        if heads[comp[line]] != (i, p):
-            want[i].append(p)
-    for limit, heavy in ((linededup.BROADCAST_IDS, 64), (-1, 64), (linededup.BROADCAST_IDS, 1)):  # both ways to fetch the candidates; heavy keys
+    want, n_near = plain_dropped(spark, rows, 2, 20)
+    assert sum(n_near.values()) > 10
+    for limit, heavy in ((linededup.BROADCAST_IDS, 64), (-1, 1)):  # both ways to fetch the candidates; heavy keys
         monkeypatch.setattr(linededup, "BROADCAST_IDS", limit)
+        monkeypatch.setattr(linededup, "BROADCAST_CUTS", limit)
         monkeypatch.setattr(linededup, "HEAVY", heavy)
         got = {r["doc_id"]: r for r in linededup.line_dedup(docs).collect()}
-        assert {i: r["dropped"] for i, r in got.items()} == {i: sorted(want[i]) for i, _ in rows}
+        assert {i: r["dropped"] for i, r in got.items()} == {i: sorted(want[i, t]) for i, t in rows}
+        assert all(got[i]["n_near"] == n_near[i, t] for i, t in rows)
     assert all(r["n_kept"] == r["n_lines"] - len(r["dropped"]) for r in got.values())
     texts = {r["doc_id"]: r for r in linededup.deduped(docs).collect()}
     for i, t in rows:
-        left = None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in want[i])
-        if want[i] and not split(left):
+        left = None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in want[i, t])
+        if want[i, t] and not split(left):
             assert i not in texts
         else:
-            assert texts[i]["text"] == left and texts[i]["n_chars"] == (len(left) if want[i] else 3)
+            assert texts[i]["text"] == left and texts[i]["n_chars"] == (len(left) if want[i, t] else 3)
+
 
+def test_lines_along_a_chain_are_not_lost(spark):
+    """A thousand numbered lines: what goes is within two edits of what stays, and what stays is not within two edits of each other."""
+    lines = [f"Your invoice number {i:05d} is ready to be paid at the desk" for i in range(1000)]
+    docs = spark.createDataFrame([(i, "\n".join(lines[i : i + 10])) for i in range(0, 1000, 10)], "doc_id long, text string")
+    rows = {r["doc_id"]: set(r["dropped"]) for r in linededup.line_dedup(docs).collect()}
+    stay = [line for i in range(0, 1000, 10) for p, line in enumerate(lines[i : i + 10]) if p not in rows[i]]
+    assert len(stay) >= 10  # three digits that all differ
+    assert all(linededup.within(line, x, 2) == (line == x) for line in stay for x in stay)
+    assert all(any(linededup.within(line, x, 2) for x in stay) for line in lines)
 
-def test_lines_with_a_common_start_meet_seldom(spark, monkeypatch):
-    """Lines of one length that share a third, with some pairs at two edits among them."""
+
+@pytest.mark.parametrize(("share", "front"), [(0.33, 1.0), (0.8, 1.0), (0.8, 0.5), (0.95, 0.7)])
+def test_lines_with_much_in_common_meet_seldom(spark, monkeypatch, share, front):
+    """Lines of one length that share a part, with some pairs at two edits among them: what meets grows with the lines."""
     met, plain = [], linededup._met
 
     def counting(index, probe, heavy, threshold):
@@ -692,16 +757,57 @@ def test_lines_with_a_common_start_meet_seldom(spark, monkeypatch):
         return plain(index, probe, heavy, threshold)
 
     monkeypatch.setattr(linededup, "_met", counting)
-    for n in (200, 400):
+    monkeypatch.setattr(linededup, "HEAVY", 32)  # keys of fewer lines meet as they are
+    sums = []
+    for n in (1000, 2000):
         rng = random.Random(5)
-        lines = ["common start of a line, thirty-one " + "".join(rng.choice("abcdefgh ") for _ in range(70)) for _ in range(n)]
+        common = "".join(rng.choice("klmnopqr ") for _ in range(int(300 * share)))
+        at = int(len(common) * front)
+        lines = [common[:at] + "".join(rng.choice("abcdefgh ") for _ in range(300 - len(common))) + common[at:] for _ in range(n)]
         for i in range(0, 20, 2):
-            lines[i + 1] = lines[i][:50] + "x" + lines[i][51:80] + "yz"[i % 4 // 2] + lines[i][81:]
-        met.append(-1)
+            lines[i + 1] = "x" + lines[i][1:80] + "yz"[i % 4 // 2] + lines[i][81:]
+        met.clear()
         pairs = linededup.candidates(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string"), 2, 20)
         assert pairs.count() >= 10
-    small, large = sum(met[1 : met.index(-1, 1)]), sum(met[met.index(-1, 1) + 1 :])
-    assert large <= 3 * small + 1000
+        sums.append(sum(met))
+    assert sums[1] <= 2.5 * sums[0] + 1000 and sums[1] <= 60 * 2000
+
+
+def test_cuts_fall_where_lines_differ():
+    rng = random.Random(1)
+    lines = ["same" * 20 + "".join(rng.choice("abcdefgh") for _ in range(9)) + "same" * 5 for _ in range(60)]
+    first, second = linededup.cuts(lines, 2)
+    assert 81 <= first < second <= 88
+    assert linededup.cuts(["x" * 30] * 5, 2) == [10, 20]
+    assert all(0 < a < b < 20 for a, b in [linededup.cuts(["y" * 19 + c for c in "abc"], 2), linededup.cuts([c + "y" * 19 for c in "abc"], 2)])
+
+
+#: Every name that the stages give to columns of their own, and some that they gave once.
+OWN_NAMES = """_doc _digest _dropped _own _dup _copy _text _same _copies _kept _rule_lines _rule_n_words _stratum _number _times _doc2 _digest2 _mark _key _source
+    row mark same copies copy dup digest head head_digest own own_digest times left dropped gone_doc gone_digest taken taken_doc taken_dup size key id line lines
+    label sid leaf side node tree path paths n near first rank word stratum kept count source_size target ratio item items held done token pos"""
+
+
+@pytest.mark.parametrize("stage", ["keep_good", "deduped", "one_of_each", "mixed_documents"])
+def test_columns_with_any_name_pass_through(spark, stage):
+    rng = random.Random(4)
+    names = OWN_NAMES.split()
+    texts = ["\n".join(cases.words(rng, 70) for _ in range(3)) for _ in range(6)]
+    texts += [texts[0] + "\nand one more line that stands in no other", texts[1], texts[2].replace("w1 ", "w2 ", 1)]
+    rows = [(i, t, "en", "s1" if i % 2 else None, len(t), *(f"{c} of {i}" for c in names)) for i, t in enumerate(texts)]
+    rows.append(rows[3])
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *names])
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    run = {"keep_good": lambda: rules.keep_good(docs, labels), "deduped": lambda: linededup.deduped(docs), "one_of_each": lambda: neardup.one_of_each(docs), "mixed_documents": lambda: mixing.mixed_documents(docs)}[stage]
+    out = run()
+    assert out.columns == docs.columns
+    found = out.collect()
+    assert len(found) >= 6
+    assert all(r[c] == f"{c} of {r['doc_id']}" for r in found for c in names)
+    assert all(r["n_chars"] == len(r["text"]) for r in found)
+    narrow = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    docs = narrow
+    assert Counter(tuple(r)[:5] for r in found) == Counter(map(tuple, run().collect()))
 
 
 def test_line_dedup_of_odd_texts(both):
