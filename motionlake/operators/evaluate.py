@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import running_total
 from ..functions.scalar import cosine_distance, dot, l2
+from ..functions.selection import quantiles
+from ..session import ship_package
 from ..sources.metadata import dense_numbers
-from .pairs import knn
+from .pairs import distances, knn
 
 
 def recall_at_k(vectors: DataFrame, label: str, k: int) -> DataFrame:
@@ -176,9 +180,10 @@ def neighbor_consistency(vectors: DataFrame, features: DataFrame, k: int, clip_a
         return both.groupBy("i", "feature").agg(F.avg(F.abs(F.col("xi") - F.col("xj"))).alias(name))
 
     ratio = mean_gap(near, "e").join(mean_gap(drawn, "r"), ["i", "feature"]).select("feature", (F.col("e") / F.greatest("r", F.lit(floor))).alias("ratio"))
-    top = ratio.groupBy("feature").agg(F.percentile("ratio", F.lit(clip_at)).alias("top"))
+    top = quantiles(ratio, {"top": (F.col("ratio"), clip_at)}, by=("feature",))
     clipped = ratio.join(F.broadcast(top), "feature").withColumn("ratio", F.greatest(F.lit(0.0), F.least("ratio", "top")))
-    return clipped.groupBy("feature").agg(F.count("*").alias("n"), F.avg("ratio").alias("ratio_mean"), F.median("ratio").alias("ratio_median"))
+    middle = quantiles(clipped, {"ratio_median": (F.col("ratio"), 0.5)}, by=("feature",))
+    return clipped.groupBy("feature").agg(F.count("*").alias("n"), F.avg("ratio").alias("ratio_mean")).join(middle, "feature")
 
 
 def conditioned_consistency(vectors: DataFrame, features: DataFrame, candidates: DataFrame, k: int, least: int = 1, clip_at: float = 0.99, floor: float = 1e-3, least_std: float = 1e-8) -> DataFrame:
@@ -198,14 +203,16 @@ def conditioned_consistency(vectors: DataFrame, features: DataFrame, candidates:
     poor = anchors.where(F.col("n_cand") < least).drop("n_cand").join(b, ["scope", "feature"]).where("i <> j")
     rich = gated.join(counts.where(F.col("n_cand") >= least).select("i", "feature"), ["i", "feature"], "left_semi")
     pool = rich.unionByName(poor).select("feature", "i", "j", F.abs(F.col("xi") - F.col("xj")).alias("gap"))
+    # one distance and draw for each pair, whatever number of features it is for
     v = vectors.select("row_index", "embedding")
-    pool = pool.join(v.select(F.col("row_index").alias("i"), F.col("embedding").alias("p")), "i").join(v.select(F.col("row_index").alias("j"), F.col("embedding").alias("q")), "j")
-    pool = pool.select("feature", "i", "j", "gap", F.round(cosine_distance(F.col("p"), F.col("q")), 12).alias("d"), F.md5(F.concat_ws("-", F.col("i").cast("string"), F.col("j").cast("string")).cast("binary")).alias("draw"))
+    met = pool.select("i", "j").distinct().join(v.select(F.col("row_index").alias("i"), F.col("embedding").alias("p")), "i").join(v.select(F.col("row_index").alias("j"), F.col("embedding").alias("q")), "j")
+    met = met.select("i", "j", F.round(cosine_distance(F.col("p"), F.col("q")), 12).alias("d"), F.md5(F.concat_ws("-", F.col("i").cast("string"), F.col("j").cast("string")).cast("binary")).alias("draw"))
+    pool = pool.join(met, ["i", "j"])
     of = Window.partitionBy("feature", "i")
     ranked = pool.withColumns({"near": F.row_number().over(of.orderBy("d", "j")), "any": F.row_number().over(of.orderBy("draw", "j"))})
     mean = lambda c: F.avg(F.when(F.col(c) <= k, F.col("gap")))
     ratio = ranked.groupBy("feature", "i").agg((mean("near") / F.greatest(mean("any"), F.lit(floor))).alias("ratio"))
-    ratio = ratio.join(F.broadcast(ratio.groupBy("feature").agg(F.percentile("ratio", F.lit(clip_at)).alias("top"))), "feature")
+    ratio = ratio.join(F.broadcast(quantiles(ratio, {"top": (F.col("ratio"), clip_at)}, by=("feature",))), "feature")
     clipped = F.greatest(F.lit(0.0), F.least("ratio", "top"))
     ratios = ratio.groupBy("feature").agg(F.avg(clipped).alias("m"), F.median(clipped).alias("h"))
     per = anchors.groupBy("feature").agg(F.count("*").alias("n"), F.stddev_pop("xi").alias("s"), F.avg("n_cand").alias("c"), F.avg(F.when(F.col("n_cand") < least, 1.0).otherwise(0.0)).alias("f"))
@@ -267,14 +274,34 @@ def mean_of_logs(log: DataFrame, by: str, columns: list[str]) -> DataFrame:
     return log.groupBy(by).agg(F.count("*").alias("n"), *(F.avg(F.when(~F.isnan(c), F.col(c))).alias(c) for c in columns))
 
 
-def silhouette(vectors: DataFrame, label: str) -> DataFrame:
+def silhouette(vectors: DataFrame, label: str, block: int = 2048) -> DataFrame:
     """row_index, silhouette (Euclidean): mean distances to the own and the nearest other label; 0 for a label's only member.
 
-    Every row meets every label through sums of distances, all pairs by nature: for evaluation sets, not corpora."""
-    a = vectors.select(F.col("row_index").alias("i"), F.col(label).alias("own"), F.col("embedding").alias("x"))
-    b = vectors.select(F.col("row_index").alias("j"), F.col(label).alias("other"), F.col("embedding").alias("y"))
-    sums = a.crossJoin(b).where("i <> j").groupBy("i", "own", "other").agg(F.avg(l2(F.col("x"), F.col("y"))).alias("m"))
-    per = sums.groupBy("i").agg(F.min(F.when(F.col("own") == F.col("other"), F.col("m"))).alias("a"), F.min(F.when(F.col("own") != F.col("other"), F.col("m"))).alias("b"))
+    Blocks of vectors meet each other and give a sum of distances for each row and label, so n * n / block rows of vectors are
+    shuffled and n * labels * n / block sums, never a row for each pair."""
+    ship_package(vectors.sparkSession)
+    base = vectors.select("row_index", F.col(label).cast("string").alias("label"), "embedding").where("label is not null")
+    n = F.greatest(F.ceil(base.agg(F.count("*").alias("n")).scalar() / block), F.lit(1)).cast("int")
+    own = base.withColumn("b", F.pmod(F.xxhash64("row_index"), n).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), n - 1))
+    queries = own.withColumns({"q": F.col("b"), "c": every, "query": F.lit(True)})
+    others = own.withColumns({"c": F.col("b"), "q": every, "query": F.lit(False)})
+
+    def sums(group: pd.DataFrame) -> pd.DataFrame:
+        a, b = group[group["query"]], group[~group["query"]]
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=["i", "own", "other", "total", "n"])
+        d = distances(*(np.stack(x["embedding"].to_numpy()).astype(float) for x in (a, b)), "l2")
+        same = a["row_index"].to_numpy()[:, None] == b["row_index"].to_numpy()[None, :]
+        names, at = np.unique(b["label"].to_numpy().astype(str), return_inverse=True)
+        mark = np.eye(len(names))[at]
+        total, count = np.where(same, 0.0, d) @ mark, (~same).astype(float) @ mark
+        rows, columns = np.nonzero(count)
+        return pd.DataFrame({"i": a["row_index"].to_numpy()[rows], "own": a["label"].to_numpy()[rows], "other": names[columns], "total": total[rows, columns], "n": count[rows, columns].astype(int)})
+
+    parts = queries.unionByName(others).drop("b").groupBy("q", "c").applyInPandas(sums, "i long, own string, other string, total double, n long")
+    means = parts.groupBy("i", "own", "other").agg((F.sum("total") / F.sum("n")).alias("m"))
+    per = means.groupBy("i").agg(F.min(F.when(F.col("own") == F.col("other"), F.col("m"))).alias("a"), F.min(F.when(F.col("own") != F.col("other"), F.col("m"))).alias("b"))
     s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
     return per.select(F.col("i").alias("row_index"), s.alias("silhouette"))
 

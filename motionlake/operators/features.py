@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import bucket_of, finite_or_zero, sanitized_gap, thw_soft
+from ..functions.selection import quantiles
 from .windows import in_order, step
 
 CORE = ("acc_abs_p95", "acc_abs_p99", "acc_rms", "jerk_abs_p95", "jerk_abs_p99", "jerk_rms", "yaw_rate_rms", "yaw_rate_abs_p95", "heading_change_total")
@@ -73,18 +74,32 @@ def ridge_gains(rows: DataFrame, least_points: int = 20, penalty: float = 1e-3,
     return rows.select("wid").distinct().join(found, "wid", "left")
 
 
+def _moments(x: Column, y: Column) -> Column:
+    """n, s1, s2, c of two arrays of one length: population deviations and covariance, in two passes over the pairs."""
+    n = F.size(x).cast("double")
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, b: a + b)
+    spread = lambda v, w, m: total(F.zip_with(v, w, lambda a, b: (a - m[0]) * (b - m[1])))
+    means = F.array(F.struct((total(x) / n).alias("x"), (total(y) / n).alias("y")))
+    made = F.transform(means, lambda m: F.struct(F.size(x).alias("n"), F.sqrt(spread(x, x, (m["x"], m["x"])) / n).alias("s1"), F.sqrt(spread(y, y, (m["y"], m["y"])) / n).alias("s2"), (spread(x, y, (m["x"], m["y"])) / n).alias("c")))
+    return F.get(made, F.lit(0))
+
+
 def sync_lag(rows: DataFrame, least_points: int = 20, most: int = 10, least: float = 1e-8) -> DataFrame:
     """wid, acc_sync_lag, acc_sync_corr: the lag with the highest correlation of the two accelerations over following
-    frames, which are numbered afresh; the smallest of equal lags."""
-    f = rows.where("following").select("wid", "a", "fa", (F.row_number().over(in_order()) - 1).alias("p"))
-    whole = f.groupBy("wid").agg(F.count("*").alias("n"), F.var_pop("a").alias("va"), F.var_pop("fa").alias("vf"))
-    usable = whole.where((F.col("n") >= max(3, least_points)) & (F.col("va") >= least) & (F.col("vf") >= least)).select("wid")
-    left = f.join(usable, "wid").select("wid", "a", "p", F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag"))
-    right = f.select(F.col("wid").alias("w2"), "fa", F.col("p").alias("q"))
-    pairs = left.join(right, (F.col("wid") == F.col("w2")) & (F.col("q") == F.col("p") - F.col("lag")))
-    per = pairs.groupBy("wid", "lag").agg(F.count("*").alias("n"), F.stddev_pop("a").alias("s1"), F.stddev_pop("fa").alias("s2"), F.covar_pop("a", "fa").alias("c"))
-    per = per.where((F.col("n") >= 3) & (F.col("s1") >= least) & (F.col("s2") >= least)).withColumn("r", F.col("c") / (F.col("s1") * F.col("s2")))
-    best = per.groupBy("wid").agg(F.max(F.struct(F.round("r", 12).alias("key"), (-F.col("lag")).alias("back"), "r")).alias("b"))
+    frames, which are numbered afresh; the smallest of equal lags. The accelerations of a window are two arrays in one row, of which each lag
+    compares two slices: frames are neither copied nor joined."""
+    f = rows.where("following").groupBy("wid").agg(F.count("*").alias("n"), F.var_pop("a").alias("va"), F.var_pop("fa").alias("vf"), F.array_sort(F.collect_list(F.struct("i", "a", "fa"))).alias("at"))
+    usable = f.where((F.col("n") >= max(3, least_points)) & (F.col("va") >= least) & (F.col("vf") >= least))
+    packed = usable.select("wid", F.col("at.a").alias("a"), F.col("at.fa").alias("fa"))
+
+    def tried(lag: Column) -> Column:
+        n = F.greatest(F.size("a") - F.abs(lag), F.lit(0))
+        return F.struct(lag.alias("lag"), _moments(F.slice("a", F.greatest(lag, F.lit(0)) + 1, n), F.slice("fa", F.greatest(-lag, F.lit(0)) + 1, n)).alias("m"))
+
+    lags = F.transform(F.sequence(F.lit(-most), F.lit(most)), tried)
+    good = F.filter(lags, lambda x: (x["m"]["n"] >= 3) & (x["m"]["s1"] >= least) & (x["m"]["s2"] >= least))
+    scored = F.transform(good, lambda x: F.transform(F.array(x["m"]["c"] / (x["m"]["s1"] * x["m"]["s2"])), lambda r: F.struct(F.round(r, 12).alias("key"), (-x["lag"]).alias("back"), r.alias("r")))[0])
+    best = packed.select("wid", F.array_max(scored).alias("b")).where("b is not null")
     best = best.select("wid", (-F.col("b.back")).cast("double").alias("acc_sync_lag"), F.col("b.r").alias("acc_sync_corr"))
     return rows.select("wid").distinct().join(best, "wid", "left")
 
@@ -140,9 +155,10 @@ def dataset_report(speeds: DataFrame, rows: DataFrame) -> DataFrame:
     split, of gains too small, and of gaps, with extremes and percentiles of gaps before and after cleaning."""
     first = speeds.agg(F.avg("speed").alias("speed_mean"), F.stddev_pop("speed").alias("speed_std"), F.min("speed").alias("speed_min"), F.max("speed").alias("speed_max"))
     splits = [F.count_if(F.col("split") == s).alias(f"{s}_count") for s in ("train", "val", "test")]
-    gaps = []
+    gaps, ranks = [], {f"cf_p{p}": (F.col("cf_valid_frac"), p / 100) for p in (10, 50, 90)}
     for c, name in (("desired_gap_raw", "d0_raw"), ("desired_gap_d0", "d0_sanitized")):
-        gaps += [F.count(c).alias(f"{name}_valid_count"), F.min(c).alias(f"{name}_min"), F.max(c).alias(f"{name}_max"), *(F.percentile(c, F.lit(p / 100)).alias(f"{name}_p{p}") for p in (1, 50, 99))]
-    cf = [F.avg("cf_valid_frac").alias("cf_mean"), F.stddev_pop("cf_valid_frac").alias("cf_std"), *(F.percentile("cf_valid_frac", F.lit(p / 100)).alias(f"cf_p{p}") for p in (10, 50, 90))]
+        gaps += [F.count(c).alias(f"{name}_valid_count"), F.min(c).alias(f"{name}_min"), F.max(c).alias(f"{name}_max")]
+        ranks |= {f"{name}_p{p}": (F.col(c), p / 100) for p in (1, 50, 99)}
+    cf = [F.avg("cf_valid_frac").alias("cf_mean"), F.stddev_pop("cf_valid_frac").alias("cf_std")]
     second = rows.agg(F.count("*").alias("total_windows"), *splits, *gaps, F.count_if("kd_small").alias("kd_small_count"), F.count_if(F.col("desired_gap_d0").isNull()).alias("d0_nan_count"), *cf)
-    return first.crossJoin(F.broadcast(second))
+    return first.crossJoin(F.broadcast(second)).crossJoin(F.broadcast(quantiles(rows, ranks)))  # a row each

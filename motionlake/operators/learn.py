@@ -14,6 +14,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import selection
 from ..session import ship_package
 from .evaluate import average_ranks
 
@@ -74,14 +75,10 @@ def sample(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 
 def holdout(rows: DataFrame, ratio: float = 0.2, seed: int = 0) -> DataFrame:
-    """rows with split train or test: the first clamp(round(n * ratio), 1, n - 1) in hash order are the test rows.
-    The cut is found as a quantile of the hashes, so no row is numbered in one task."""
-    n = rows.count()
-    take = min(max(round(n * ratio), 1), max(n - 1, 0))
-    if not take:
-        return rows.withColumn("split", F.lit("train"))
+    """rows with split train or test: the first clamp(round(n * ratio), 1, n - 1) in hash order are the test rows; a single row is train.
+    The cut is selected from counts of hash ranges: no task sorts or holds the rows."""
     h = F.xxhash64("row_index", F.lit(seed))
-    cut = rows.select(h.alias("h")).orderBy("h").limit(take).agg(F.max("h").alias("cut"))
+    cut = selection.smallest(rows, h, ratio).agg(F.max("cut").alias("cut"))  # one row, also where there is no cut
     return rows.crossJoin(F.broadcast(cut)).withColumn("split", F.when(h <= F.col("cut"), "test").otherwise("train")).drop("cut")
 
 

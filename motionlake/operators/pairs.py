@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import cosine_distance, dot, l2, unit
-from ..session import ship_package
+from ..functions.selection import quantiles
+from ..session import ship_package, stored
+from . import cells, pivots
 
 METRICS = ("cosine", "l2")
 
 
-def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     if metric == "cosine":
         na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
         ok = (na > 0)[:, None] & (nb > 0)[None, :]
@@ -28,20 +30,31 @@ def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(np.maximum(gram, 0))
 
 
+def _all_blocks(base: DataFrame, n: int) -> DataFrame:
+    """Queries and candidates of every pair of n blocks."""
+    own = base.withColumn("b", F.pmod(F.xxhash64("row_index"), F.lit(n)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = own.withColumn("q", F.col("b")).withColumn("c", every).withColumn("query", F.lit(True))
+    right = own.withColumn("c", F.col("b")).withColumn("q", every).withColumn("query", F.lit(False))
+    return left.unionByName(right).drop("b")
+
+
 def knn(vectors: DataFrame, k: int, metric: str = "cosine", farthest: bool = False, block: int = 2048, scope: str | None = None) -> DataFrame:
     """i, j, d, rank (from 1) of the k nearest (or farthest) other vectors; ties by j. vectors: row_index, embedding.
 
-    With fewer than k others, all of them. Distances that agree to 12 digits count as ties.
+    With fewer than k others, all of them. Distances that agree to 12 digits count as ties. A whole table of several blocks goes by
+    pivots (see `pivots`), which leave out blocks without neighbours; the farthest, and those within a scope, go block against block.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     ship_package(vectors.sparkSession)
     base = vectors.select("row_index", "embedding", (F.col(scope) if scope else F.lit(0)).cast("string").alias("scope"))
-    n = max(1, -(-base.count() // block))
-    own = base.withColumn("b", F.pmod(F.xxhash64("row_index"), F.lit(n)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = own.withColumn("q", F.col("b")).withColumn("c", every).withColumn("query", F.lit(True))
-    right = own.withColumn("c", F.col("b")).withColumn("q", every).withColumn("query", F.lit(False))
+    rows = base.count()
+    n = max(1, -(-rows // block))
+    if n > 1 and not farthest and scope is None:
+        both = pivots.dealt(base, k, metric, block, rows).withColumn("scope", F.lit("0"))
+    else:
+        both = _all_blocks(base, n)
     sign = -1.0 if farthest else 1.0
 
     def best(group: pd.DataFrame) -> pd.DataFrame:
@@ -49,7 +62,7 @@ def knn(vectors: DataFrame, k: int, metric: str = "cosine", farthest: bool = Fal
         if not len(q) or not len(c):
             return pd.DataFrame({"i": [], "j": [], "d": []}).astype({"i": "int64", "j": "int64"})
         qi, ci = q["row_index"].to_numpy(), c["row_index"].to_numpy()
-        d = _distances(np.stack(q["embedding"].to_numpy()).astype(float), np.stack(c["embedding"].to_numpy()).astype(float), metric)
+        d = distances(np.stack(q["embedding"].to_numpy()).astype(float), np.stack(c["embedding"].to_numpy()).astype(float), metric)
         key = np.where(qi[:, None] == ci[None, :], np.inf, sign * np.round(d, 12))
         take = min(k, len(ci))
         order = np.argsort(ci, kind="stable")  # stable sorts below then break ties by j
@@ -58,7 +71,7 @@ def knn(vectors: DataFrame, k: int, metric: str = "cosine", farthest: bool = Fal
         out = pd.DataFrame({"i": qi[rows], "j": ci[top.ravel()], "d": d[rows, top.ravel()]})
         return out[out["i"] != out["j"]]
 
-    near = left.unionByName(right).groupBy("scope", "q", "c").applyInPandas(best, "i long, j long, d double")
+    near = both.groupBy("scope", "q", "c").applyInPandas(best, "i long, j long, d double")
     order = F.round("d", 12) * sign
     rank = F.row_number().over(Window.partitionBy("i").orderBy(order, "j"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -75,42 +88,44 @@ def scoped_pairs(vectors: DataFrame, metric: str = "l2", scope: str = "scope") -
 def box_pairs(cond: DataFrame, speed: float = 2.0, dist: float = 5.0, vrel: float = 1.0) -> DataFrame:
     """i, j whose conditions agree within the tolerances and whose buckets are equal.
 
-    A range join by bins: both sides carry the bin of their speed, one side its two neighbours as well,
-    so candidates meet in an equi-join and the exact test is left over.
+    A range join through cells of the three tolerances: one side looks into the 27 cells around its own, so candidates meet in
+    an equi-join and the exact test is left over; crowded cells are split.
     """
-    bins = F.floor(F.col("speed_mean") / speed)
-    a = cond.select(F.col("wid").alias("i"), F.col("speed_mean").alias("s1"), F.col("dist_mean").alias("d1"), F.col("vrel_mean").alias("v1"), "bucket", F.explode(F.array(bins - 1, bins, bins + 1)).alias("bin"))
-    b = cond.select(F.col("wid").alias("j"), F.col("speed_mean").alias("s2"), F.col("dist_mean").alias("d2"), F.col("vrel_mean").alias("v2"), "bucket", bins.alias("bin"))
-    near = (F.abs(F.col("s1") - F.col("s2")) <= speed) & (F.abs(F.col("d1") - F.col("d2")) <= dist) & (F.abs(F.col("v1") - F.col("v2")) <= vrel)
-    return a.join(b, ["bucket", "bin"]).where(near & (F.col("i") != F.col("j"))).select("i", "j")
+    rows = cond.select("bucket", F.col("wid").alias("id"), F.col("speed_mean").alias("x"), F.col("dist_mean").alias("y"), F.col("vrel_mean").alias("z"))
+    return cells.within_box(rows, ["bucket"], (speed, dist, vrel)).select("i", "j")
 
 
-def robust_scales(cond: DataFrame, mode: str = "mad", floor: float = 1e-6) -> DataFrame:
-    """One row: a scale per condition: median absolute deviation (lower medians), interquartile range or sample deviation."""
+def robust_scales(cond: DataFrame, mode: str = "mad", floor: float = 1e-6, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (or one for each value of `by`): a scale per condition: median absolute deviation (lower medians), interquartile range or
+    sample deviation. Medians and quartiles are selected, not sorted."""
     names = ("speed_mean", "dist_mean", "vrel_mean")
     floored = lambda c: F.greatest(c, F.lit(floor))
     if mode == "iqr":
-        return cond.agg(*(floored(F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))).alias(f"s_{c}") for c in names))
+        ends = quantiles(cond, {f"{c}_{q}": (F.col(c), q / 100) for c in names for q in (25, 75)}, by)
+        return ends.select(*by, *(floored(F.col(f"{c}_75") - F.col(f"{c}_25")).alias(f"s_{c}") for c in names))
     if mode == "std":
-        return cond.agg(*(floored(F.coalesce(F.stddev_samp(c), F.lit(0.0))).alias(f"s_{c}") for c in names))
+        return cond.groupBy(*by).agg(*(floored(F.coalesce(F.stddev_samp(c), F.lit(0.0))).alias(f"s_{c}") for c in names))
     if mode != "mad":
         raise ValueError("mode must be mad, iqr or std")
-    low = lambda c: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c})")
-    mid = cond.agg(*(low(c).alias(f"m_{c}") for c in names))
-    off = cond.crossJoin(F.broadcast(mid)).select(*(F.abs(F.col(c) - F.col(f"m_{c}")).alias(c) for c in names))
-    return off.agg(*(floored(low(c)).alias(f"s_{c}") for c in names))
+    mid = quantiles(cond, {f"m_{c}": (F.col(c), 0.5) for c in names}, by, discrete=True)
+    both = cond.join(mid, list(by)) if by else cond.crossJoin(F.broadcast(mid))
+    off = both.select(*by, *(F.abs(F.col(c) - F.col(f"m_{c}")).alias(c) for c in names))
+    low = quantiles(off, {f"s_{c}": (F.col(c), 0.5) for c in names}, by, discrete=True)
+    return low.select(*by, *(floored(f"s_{c}").alias(f"s_{c}") for c in names))
 
 
-def condition_knn(cond: DataFrame, k: int, mode: str = "mad") -> DataFrame:
+def condition_knn(cond: DataFrame, k: int, mode: str = "mad", scope: str | None = None) -> DataFrame:
     """i, j, d, rank, fallback: the k nearest of the same bucket by scaled distance. An anchor alone in its bucket is
-    gated with all others, unranked, as a last resort. cond: wid, three conditions, bucket."""
+    gated with all others, unranked, as a last resort. cond: wid, three conditions, bucket. With a scope, scales, buckets and the last
+    resort hold within each of its values, which must not be null."""
+    rows = stored(cond.withColumn("scope", F.col(scope) if scope else F.lit(0)).select("scope", "wid", "speed_mean", "dist_mean", "vrel_mean", "bucket"))
     names = ("speed_mean", "dist_mean", "vrel_mean")
-    scaled = cond.crossJoin(F.broadcast(robust_scales(cond, mode)))
-    vectors = scaled.select(F.col("wid").alias("row_index"), F.array(*(F.col(c) / F.col(f"s_{c}") for c in names)).alias("embedding"), "bucket")
-    near = knn(vectors, k, "l2", scope="bucket").withColumn("fallback", F.lit(False))
-    lonely = cond.groupBy("bucket").agg(F.count("*").alias("n"), F.max("wid").alias("i")).where("n = 1").select("i")
-    # at most one anchor a bucket, so at most buckets * rows pairs
-    rest = F.broadcast(lonely).crossJoin(cond.select(F.col("wid").alias("j"))).where("i <> j")
+    scales = robust_scales(rows, mode, by=("scope",))
+    scaled = rows.join(scales, "scope").select(F.struct("scope", "bucket").alias("gate"), F.col("wid").alias("id"), *((F.col(c) / F.col(f"s_{c}")).alias(a) for c, a in zip(names, cells.AXES, strict=True)))
+    near = cells.nearest(stored(scaled), "gate", k).select("i", "j", "d", "rank", F.lit(False).alias("fallback"))
+    # at most one anchor for each bucket of a scope, which AQE broadcasts if they are few
+    lonely = rows.groupBy("scope", "bucket").agg(F.count("*").alias("n"), F.max("wid").alias("i")).where("n = 1").select("scope", "i")
+    rest = rows.select("scope", F.col("wid").alias("j")).join(lonely, "scope").where("i <> j")
     rest = rest.select("i", "j", F.lit(None).cast("double").alias("d"), F.lit(None).cast("int").alias("rank"), F.lit(True).alias("fallback"))
     return near.unionByName(rest)
 

@@ -1,7 +1,8 @@
 """Hopping row windows and per-frame signals.
 
-Windows are kept long, one row per window and frame: keys are (scenario_id, start), which `wid` packs
-(see `window_id`), so later window functions and aggregates by wid share one shuffle.
+Windows are kept long, one row per window and frame: keys are (scenario_id, start), which `wid` packs into a number where
+scenario ids are numbers, and into a struct of both otherwise (see `window_key`), so later window functions and aggregates by wid
+share one shuffle.
 """
 
 from __future__ import annotations
@@ -30,8 +31,23 @@ def window_id(scenario_id: Column, start: Column) -> Column:
     return F.coalesce(F.when(start < PACKED, early).when(fits, late), F.when(scenario_id.isNotNull(), error))
 
 
-def scenario_of(wid: Column) -> Column:
-    """The scenario of a window id."""
+#: Types of scenario ids that window_id packs.
+NUMBERS = ("tinyint", "smallint", "int", "bigint")
+
+
+def window_key(rows: DataFrame) -> Column:
+    """The key of the window (scenario_id, start) of each row: window_id for numbers; for names, as record files have them,
+    a struct of both, which groups, joins and sorts as numbers do. Null where the scenario is null."""
+    scenario, start = F.col("scenario_id"), F.col("start")
+    if dict(rows.dtypes)["scenario_id"] in NUMBERS:
+        return window_id(scenario, start)
+    return F.when(scenario.isNotNull(), F.struct(scenario.alias("scenario_id"), start.alias("start")))
+
+
+def scenario_of(wid: Column, packed: bool = True) -> Column:
+    """The scenario of a window's key; packed: it is a number."""
+    if not packed:
+        return wid.getField("scenario_id")
     late = F.call_function("div", -(wid - LATE) - 1, F.lit(1 << 32)) - (1 << 29)
     return F.when(wid < LATE, late).otherwise(F.call_function("div", wid, F.lit(PACKED)))
 
@@ -44,7 +60,7 @@ def sliding(aligned: DataFrame, length: int = 80, stride: int = 20) -> DataFrame
     final = F.floor(F.least(F.col("k"), F.col("last")) / stride).cast("bigint")
     rows = aligned.withColumn("last", last).where("last >= 0").withColumns({"a": first, "b": final}).where("a <= b")
     rows = rows.withColumn("start", F.explode(F.transform(F.sequence("a", "b"), lambda s: s * stride)))
-    return rows.select(window_id(F.col("scenario_id"), F.col("start")).alias("wid"), "scenario_id", "start", (F.col("k") - F.col("start")).alias("i"), "front_id", "x", "y", "vx", "vy", "fx", "fy", "fvx", "fvy")
+    return rows.select(window_key(rows).alias("wid"), "scenario_id", "start", (F.col("k") - F.col("start")).alias("i"), "front_id", "x", "y", "vx", "vy", "fx", "fy", "fvx", "fvy")
 
 
 def window_rows(windows: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """TFRecord files of scenario messages, as DataFrames.
 
-Files are read by Spark (binaryFile) and framed in Arrow tasks: length (8 bytes), its checksum, payload, its
-checksum. A payload is a scenario message, or a wrapper whose byte values are tried in turn; the first candidate
+Records come from the data source of `tfrecords`, which splits large files, checks both checksums and names what can't be read.
+A payload is a scenario message, or a wrapper whose byte values are tried in turn; the first candidate
 that reads as a valid scenario counts, and others give a NULL record. Only the fields in use are read.
 """
 
@@ -12,10 +12,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship_package
+from .tfrecords import SPLIT_BYTES, read_records
 
-SCHEMA = "path string, position long, scenario_id string, sdc_track_index int, tracks array<struct<states array<struct<valid boolean, center_x double, center_y double, velocity_x double, velocity_y double>>>>"
+SCENARIO = "scenario_id string, sdc_track_index int, tracks array<struct<states array<struct<valid boolean, center_x double, center_y double, velocity_x double, velocity_y double>>>>"
+SCHEMA = f"path string, position long, fault string, {SCENARIO}"
 #: Field numbers of the public scenario and track messages.
 SCENARIO_ID, SDC_INDEX, TRACKS, STATES = 5, 6, 2, 3
 #: Features, feature entry, entry value, byte list and value of the public wrapper message.
@@ -23,17 +26,6 @@ WRAPPER_PATH = (1, 1, 2, 1, 1)
 STATE_FIELDS = {2: "center_x", 3: "center_y", 9: "velocity_x", 10: "velocity_y", 11: "valid"}
 
 
-def frames(data: bytes) -> Iterator[bytes]:
-    """Payloads of a TFRecord file; a cut-off tail ends the stream."""
-    at = 0
-    while at + 12 <= len(data):
-        (n,) = struct.unpack_from("<Q", data, at)
-        if at + 16 + n > len(data):
-            return
-        yield data[at + 12 : at + 12 + n]
-        at += 16 + n
-
-
 def _varint(data: bytes, at: int) -> tuple[int, int]:
     value = shift = 0
     while True:
@@ -108,18 +100,21 @@ def decode(payload: bytes) -> dict | None:
     return found
 
 
-def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record; scenario columns are NULL where nothing decodes."""
+def read_scenarios(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, faults: str = "rows") -> DataFrame:
+    """path, position (first byte), fault, and the scenario's columns: one row per record. Scenario columns are NULL where nothing
+    decodes, and where a fault says why the record couldn't be read."""
     ship_package(spark)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        none = {"scenario_id": None, "sdc_track_index": None, "tracks": None}
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                rows = []
-                for n, payload in enumerate(frames(content)):
-                    s = decode(payload) or {"scenario_id": None, "sdc_track_index": None, "tracks": None}
-                    rows.append({"path": name, "position": n, **s})
-                if rows:
-                    yield pd.DataFrame(rows)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCHEMA)
+            rows = [{"path": name, "position": at, "fault": fault, **((payload is not None and decode(bytes(payload))) or none)} for name, at, payload, fault in batch.itertuples(index=False)]
+            if rows:
+                yield pd.DataFrame(rows)
+
+    return read_records(spark, path, split_bytes, faults).mapInPandas(run, SCHEMA)
+
+
+def faults(records: DataFrame) -> DataFrame:
+    """path, fault, n, first, last: what could not be read in each file, with the first and last byte positions."""
+    return records.where("fault is not null").groupBy("path", "fault").agg(F.count("*").alias("n"), F.min("position").alias("first"), F.max("position").alias("last"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from motionlake.functions import scalar
 from motionlake.operators import evaluate, features, lead, learn, pairs, retrieve, rollouts, windows
-from motionlake.sources import metadata, records, sinks, tables
+from motionlake.sources import metadata, records, sinks, tables, tfrecords
 from motionlake.streaming import events
 
 
@@ -238,10 +238,10 @@ def test_tfrecord_scenarios(spark, tmp_path):
     message = _field(5, 2, b"scene") + _field(6, 0, 1) + _field(2, 2, _field(3, 2, state)) + _field(2, 2, _field(3, 2, state) + _field(3, 2, b""))
     entry = lambda value: _field(1, 2, _field(1, 2, b"key") + _field(2, 2, _field(1, 2, _field(1, 2, value))))
     wrapper = _field(1, 2, entry(b"\xff\xffjunk") + entry(message))
-    frame = lambda p: struct.pack("<Q", len(p)) + b"0000" + p + b"0000"
+    frame = tfrecords.framed
     (tmp_path / "b.tfrecord").write_bytes(frame(message) + frame(wrapper) + frame(b"\x07nonsense") + b"\x01cut")
     rows = records.read_scenarios(spark, str(tmp_path)).orderBy("position").collect()
-    assert [r["scenario_id"] for r in rows] == ["scene", "scene", None]
+    assert [(r["scenario_id"], r["fault"]) for r in rows] == [("scene", None), ("scene", None), (None, None), (None, "cut tail")]
     long = tables.nested_to_tracks(records.read_scenarios(spark, str(tmp_path)).where("position = 0")).collect()
     assert len(long) == 3 and sum(r["is_ego"] for r in long) == 2 and {r["x"] for r in long} == {1.5, 0.0} and sum(r["valid"] for r in long) == 2
     assert tables.discover(spark, f"{tmp_path}/*.tfrecord", 1)[0].endswith("b.tfrecord")
