@@ -30,6 +30,12 @@ def test_boxes_equal_all_pairs(spark, monkeypatch, crowd):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_boxes_keep_their_tasks(spark):
+    """A few KB that meet crowds stay in many tasks: AQE would join them into one."""
+    rows = spark.range(400).select(F.col("id").alias("wid"), F.lit(0).alias("bucket"), F.lit(0).alias("scope"), *(F.col("id").cast("double").alias(c) for c in ("speed_mean", "dist_mean", "vrel_mean")))
+    assert pairs.box_pairs(rows, scope="scope").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def scale(values, mode):
     ordered = sorted(values)
     low = lambda v: sorted(v)[(len(v) - 1) // 2]
