@@ -63,6 +63,15 @@ def test_condition_neighbours_equal_all_pairs(spark, monkeypatch, crowd, mode, s
     assert len(got) == len(want) + len(fallback)
 
 
+def test_neighbours_of_the_whole_table(spark, sf_dir):
+    """cond_knn_join looks at all windows of a bucket, not at those of ten scenarios."""
+    from motionlake.plans.queries import ORACLES, QUERIES
+
+    assert "scope" not in ORACLES["cond_knn_join"]
+    plan = QUERIES["cond_knn_join"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "div 10)" not in plan
+
+
 def test_one_point_many_times_is_one_point(spark, monkeypatch):
     """Rows at one point meet through their least ids: what is compared does not grow with their number."""
     met, plain = [], cells.meet
