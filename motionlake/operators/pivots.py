@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 #: Pivots at most, and vectors of a cell at least on average. Distances have this relative slack for rounding.
 PIVOTS, PER_PIVOT, SLACK = 1024, 64, 1e-6
 
@@ -109,10 +111,11 @@ def dealt(base: DataFrame, k: int, metric: str, block: int, n: int) -> DataFrame
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pivots, between, far, most, blocks = shared.value
-        every = sorted({b for first, parts in blocks.values() for b in range(first, first + parts)})
         aside = list(range(blocks[-1][0], sum(blocks[-1]))) if -1 in blocks else []
         used = np.array([c for c in range(len(pivots)) if c in blocks], int)
-        of_cell = {c: list(range(first, first + parts)) for c, (first, parts) in blocks.items()}
+        of_cell = np.zeros((len(used), max(map(sum, blocks.values()))), np.float32)
+        for x, c in enumerate(used):
+            of_cell[x, blocks[c][0] : sum(blocks[c])] = 1
         for batch in batches:
             x, directed = _points(batch, metric)
             d = _to_pivots(x, pivots)
@@ -122,15 +125,16 @@ def dealt(base: DataFrame, k: int, metric: str, block: int, n: int) -> DataFrame
                 plane = (d[:, used] ** 2 - own[:, None] ** 2) / (2 * between[cell][:, used])
             least = np.fmax(d[:, used] - far[used], np.where(between[cell][:, used] > 0, plane, 0.0))
             wanted = least <= most[used] * (1 + SLACK) + SLACK
-            rows = []
-            for i, (index, has) in enumerate(zip(batch["row_index"].tolist(), directed, strict=True)):
-                first, parts = blocks[int(cell[i]) if has else -1]
-                at = first + hash(index) % parts
-                to = every if not has else sorted({b for c in used[wanted[i]].tolist() for b in of_cell[c]} | {*aside})
-                rows.append((index, batch["embedding"].iloc[i], at, to))
-            yield pd.DataFrame(rows, columns=["row_index", "embedding", "at", "to"])
-
-    held = base.select("row_index", "embedding").mapInPandas(run, "row_index long, embedding array<double>, at int, to array<int>")
+            first, parts = np.array([blocks[int(c) if has else -1] for c, has in zip(cell, directed, strict=True)]).T
+            at = first + np.array([hash(i) for i in batch["row_index"].tolist()]) % parts
+            sent = wanted.astype(np.float32) @ of_cell > 0  # to blocks
+            sent[:, aside] = True
+            sent[~directed] = True
+            to = np.split(np.nonzero(sent)[1].astype(np.int32), np.cumsum(sent.sum(1))[:-1])
+            rows = pd.DataFrame({"row_index": batch["row_index"].to_numpy(), "embedding": batch["embedding"].to_numpy(), "at": at, "to": to})
+            yield rows
+
+    held = stored(base.select("row_index", "embedding").mapInPandas(run, "row_index long, embedding array<double>, at int, to array<int>"))
     candidates = held.select("row_index", "embedding", F.explode("to").alias("q"), F.col("at").alias("c"), F.lit(False).alias("query"))
     pairs = held.select(F.explode("to").alias("q"), F.col("at").alias("c")).distinct()  # of blocks
     queries = held.select("row_index", "embedding", F.col("at").alias("q")).join(pairs, "q").select("row_index", "embedding", "q", "c", F.lit(True).alias("query"))

@@ -54,3 +54,26 @@ def test_few_vectors_and_more_neighbours_than_there_are(spark):
     got = pairs.knn(table(spark, x), 60, "l2", block=8).groupBy("i").count().collect()
     assert len(got) == 40 and all(r["count"] == 39 for r in got)
     assert pairs.knn(table(spark, x[:1]), 3, "l2", block=8).count() == 0
+
+
+def test_what_is_sent_grows_with_the_table():
+    """Every block meets every other: their number must not grow with the rows (600,000 vectors were 293 blocks)."""
+    assert pairs.block_count(600_000, 64) == pairs.block_count(100_000, 64) == 16
+    assert pairs.block_count(400, 64) == 1 and pairs.block_count(400, 64, 100) == 4
+    assert 4096 * 8 * 100_000 / pairs.block_count(100_000, 4096) <= pairs.BYTES
+
+
+@pytest.mark.parametrize("farthest", [False, True])
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_tiles_keep_the_best(monkeypatch, metric, farthest):
+    monkeypatch.setattr(pairs, "TILE", (64, 100))
+    rng = np.random.default_rng(3)
+    for x in (rng.normal(size=(400, 6)), rng.integers(0, 3, size=(300, 3)).astype(float), rng.normal(size=(300, 5)) * 1e-3 + 50):
+        x[5] = 0
+        ids = rng.permutation(len(x)) * 3
+        got = list(zip(*(z.tolist() for z in pairs.best_of(ids, x, ids, x, 6, metric, farthest)[:2]), strict=True))
+        want = []
+        for r in range(len(x)):
+            d = np.round(pairs._exact(np.repeat(x[[r]], len(x), 0), x, metric), 12) * (-1 if farthest else 1)
+            want += [(ids[r], j) for _, j in sorted((d[c], ids[c]) for c in range(len(x)) if c != r)[:6]]
+        assert got == want
