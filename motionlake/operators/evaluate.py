@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.ordered import running_total
 from ..functions.scalar import cosine_distance, dot, l2
 from ..functions.selection import quantiles
-from ..session import ship_package
+from ..session import ship_package, stored
 from ..sources.metadata import dense_numbers
-from .pairs import distances, knn
+from .pairs import TILE, _all_blocks, block_count, knn
 
 
 def recall_at_k(vectors: DataFrame, label: str, k: int) -> DataFrame:
@@ -257,11 +257,14 @@ def clustering_metrics(vectors: DataFrame, label: str) -> DataFrame:
 def clustering_report(vectors: DataFrame, k: int, cluster, seeds: int = 5) -> DataFrame:
     """One row: silhouette, calinski_harabasz, davies_bouldin, each the mean over `seeds` clusterings; NULL with fewer than max(10, k + 1)
     vectors. cluster(vectors, k, seed) gives row_index, cluster."""
-    found = None
-    for seed in range(seeds if vectors.count() >= max(10, k + 1) else 0):
-        made = cluster(vectors, k, seed).select("row_index", F.col("cluster").alias("_cluster"))
-        rows = vectors.select("row_index", "embedding").join(made, "row_index")
-        one = clustering_metrics(rows, "_cluster").crossJoin(silhouette(rows, "_cluster").agg(F.avg("silhouette").alias("silhouette")))
+    found, made = None, [f"_cluster{seed}" for seed in range(seeds if vectors.count() >= max(10, k + 1) else 0)]
+    rows = vectors.select("row_index", "embedding")
+    for seed, name in enumerate(made):
+        rows = rows.join(cluster(vectors, k, seed).select("row_index", F.col("cluster").alias(name)), "row_index")
+    rows = stored(rows) if made else rows
+    means = stored(silhouettes(rows, made).groupBy("t").agg(F.avg("silhouette").alias("silhouette"))) if made else None
+    for t, name in enumerate(made):
+        one = clustering_metrics(rows, name).crossJoin(means.where(F.col("t") == t).select("silhouette"))
         found = one if found is None else found.unionByName(one)
     names = ("silhouette", "calinski_harabasz", "davies_bouldin")
     if found is None:
@@ -274,36 +277,67 @@ def mean_of_logs(log: DataFrame, by: str, columns: list[str]) -> DataFrame:
     return log.groupBy(by).agg(F.count("*").alias("n"), *(F.avg(F.when(~F.isnan(c), F.col(c))).alias(c) for c in columns))
 
 
-def silhouette(vectors: DataFrame, label: str, block: int = 2048) -> DataFrame:
-    """row_index, silhouette (Euclidean): mean distances to the own and the nearest other label; 0 for a label's only member.
-
-    Blocks of vectors meet each other and give a sum of distances for each row and label, so n * n / block rows of vectors are
-    shuffled and n * labels * n / block sums, never a row for each pair."""
+def _label_sums(group: pd.DataFrame) -> pd.DataFrame:
+    """Of a block of queries and one of candidates: sums and numbers of distances of each query to the candidates of each label."""
+    a, b = group[group["query"]], group[~group["query"]]
+    if not len(a) or not len(b):
+        return pd.DataFrame(columns=["i", "t", "own", "other", "total", "n"])
+    keys = pd.factorize(pd.Series(list(map(tuple, b["labels"]))))
+    order = np.argsort(keys[0], kind="stable")  # candidates of equal labels stand together
+    code, b = keys[0][order], b.iloc[order]
+    qi, ci = a["row_index"].to_numpy(), b["row_index"].to_numpy()
+    x, y = (np.stack(z["embedding"].to_numpy()).astype(float) for z in (a, b))
+    mid = y.mean(0)
+    x, y = x - mid, y - mid
+    # one product gives squared distances
+    x = np.hstack([-2 * x, (x * x).sum(1)[:, None], np.ones((len(x), 1))])
+    y = np.ascontiguousarray(np.hstack([y, np.ones((len(y), 1)), (y * y).sum(1)[:, None]]).T)
+    total, count = np.zeros((len(a), len(keys[1]))), np.tile(np.bincount(code, minlength=len(keys[1])), (len(a), 1))
+    shared = bool(np.isin(qi, ci).any())
+    for q in range(0, len(a), TILE[0]):
+        for c in range(0, len(b), TILE[1]):
+            of, here = slice(q, q + TILE[0]), slice(c, c + TILE[1])
+            d = x[of] @ y[:, here]
+            np.maximum(d, 0, out=d)
+            np.sqrt(d, out=d)
+            if shared:
+                row, at = np.nonzero(qi[of, None] == ci[None, here])
+                d[row, at] = 0
+                np.subtract.at(count, (row + q, code[at + c]), 1)
+            held, first = np.unique(code[here], return_index=True)
+            total[of, held] += np.add.reduceat(d, first, axis=1)
+    parts = []
+    for t in range(len(a["labels"].iloc[0])):
+        own = np.array([labels[t] for labels in a["labels"]], object)
+        at, names = pd.factorize(np.array([labels[t] for labels in keys[1]], object))  # -1: no label
+        mark = (at[:, None] == np.arange(len(names))[None, :]).astype(float)
+        n = count @ mark
+        row, column = np.nonzero((n > 0) & np.array([o is not None for o in own])[:, None])
+        parts.append(pd.DataFrame({"i": qi[row], "t": t, "own": own[row], "other": np.asarray(names, object)[column], "total": (total @ mark)[row, column], "n": n[row, column].astype(int)}))
+    return pd.concat(parts)
+
+
+def silhouettes(vectors: DataFrame, labels: list[str], block: int | None = None) -> DataFrame:
+    """t (the number of a label column), row_index, silhouette (Euclidean) for several labellings of the same vectors, whose distances are
+    computed once: mean distances to the own and the nearest other label; 0 for a label's only member.
+
+    Blocks of vectors meet each other (see `block_count`) and give a sum of distances for each row and label: what is shuffled are
+    rows of vectors and n * labels * blocks sums, never a row for each pair, and a task holds a tile of distances."""
     ship_package(vectors.sparkSession)
-    base = vectors.select("row_index", F.col(label).cast("string").alias("label"), "embedding").where("label is not null")
-    n = F.greatest(F.ceil(base.agg(F.count("*").alias("n")).scalar() / block), F.lit(1)).cast("int")
-    own = base.withColumn("b", F.pmod(F.xxhash64("row_index"), n).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), n - 1))
-    queries = own.withColumns({"q": F.col("b"), "c": every, "query": F.lit(True)})
-    others = own.withColumns({"c": F.col("b"), "q": every, "query": F.lit(False)})
-
-    def sums(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = group[group["query"]], group[~group["query"]]
-        if not len(a) or not len(b):
-            return pd.DataFrame(columns=["i", "own", "other", "total", "n"])
-        d = distances(*(np.stack(x["embedding"].to_numpy()).astype(float) for x in (a, b)), "l2")
-        same = a["row_index"].to_numpy()[:, None] == b["row_index"].to_numpy()[None, :]
-        names, at = np.unique(b["label"].to_numpy().astype(str), return_inverse=True)
-        mark = np.eye(len(names))[at]
-        total, count = np.where(same, 0.0, d) @ mark, (~same).astype(float) @ mark
-        rows, columns = np.nonzero(count)
-        return pd.DataFrame({"i": a["row_index"].to_numpy()[rows], "own": a["label"].to_numpy()[rows], "other": names[columns], "total": total[rows, columns], "n": count[rows, columns].astype(int)})
-
-    parts = queries.unionByName(others).drop("b").groupBy("q", "c").applyInPandas(sums, "i long, own string, other string, total double, n long")
-    means = parts.groupBy("i", "own", "other").agg((F.sum("total") / F.sum("n")).alias("m"))
-    per = means.groupBy("i").agg(F.min(F.when(F.col("own") == F.col("other"), F.col("m"))).alias("a"), F.min(F.when(F.col("own") != F.col("other"), F.col("m"))).alias("b"))
+    base = vectors.select("row_index", F.array(*(F.col(c).cast("string") for c in labels)).alias("labels"), "embedding").where(F.exists("labels", lambda x: x.isNotNull()))
+    size = base.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
+    both = _all_blocks(base, block_count(size["n"], size["width"] or 1, block))
+    both = both.repartition(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), "q", "c")
+    parts = both.groupBy("q", "c").applyInPandas(_label_sums, "i long, t int, own string, other string, total double, n long")
+    means = parts.groupBy("i", "t", "own", "other").agg((F.sum("total") / F.sum("n")).alias("m"))
+    per = means.groupBy("i", "t").agg(F.min(F.when(F.col("own") == F.col("other"), F.col("m"))).alias("a"), F.min(F.when(F.col("own") != F.col("other"), F.col("m"))).alias("b"))
     s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return per.select(F.col("i").alias("row_index"), s.alias("silhouette"))
+    return per.select("t", F.col("i").alias("row_index"), s.alias("silhouette"))
+
+
+def silhouette(vectors: DataFrame, label: str, block: int | None = None) -> DataFrame:
+    """row_index, silhouette of one labelling (see `silhouettes`)."""
+    return silhouettes(vectors, [label], block).select("row_index", "silhouette")
 
 
 def group_size_histogram(rows: DataFrame, key: str) -> DataFrame:
