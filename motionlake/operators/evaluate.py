@@ -180,6 +180,7 @@ def neighbor_consistency(vectors: DataFrame, features: DataFrame, k: int, clip_a
         return both.groupBy("i", "feature").agg(F.avg(F.abs(F.col("xi") - F.col("xj"))).alias(name))
 
     ratio = mean_gap(near, "e").join(mean_gap(drawn, "r"), ["i", "feature"]).select("feature", (F.col("e") / F.greatest("r", F.lit(floor))).alias("ratio"))
+    ratio = stored(ratio)  # read four times below
     top = quantiles(ratio, {"top": (F.col("ratio"), clip_at)}, by=("feature",))
     clipped = ratio.join(F.broadcast(top), "feature").withColumn("ratio", F.greatest(F.lit(0.0), F.least("ratio", "top")))
     middle = quantiles(clipped, {"ratio_median": (F.col("ratio"), 0.5)}, by=("feature",))

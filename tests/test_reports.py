@@ -67,3 +67,11 @@ def test_cases_without_groups(spark):
     assert evaluate.clustering_report(rows, 2, None).first()["silhouette"] is None
     log = spark.createDataFrame([(1, 2.0), (1, float("nan")), (1, 4.0)], "epoch long, tau double")
     assert evaluate.mean_of_logs(log, "epoch", ["tau"]).select("n", F.col("tau")).first()[:] == (3, 3.0)
+
+
+def test_neighbours_are_found_once(spark, monkeypatch):
+    """neighbor_consistency reads its ratios several times; the neighbours behind them are one job's work."""
+    rows = [(i, [float(i % 7), float(i % 5) + 1.0], float(i)) for i in range(60)]
+    v = spark.createDataFrame(rows, "row_index long, embedding array<double>, x double")
+    out = evaluate.neighbor_consistency(v.select("row_index", "embedding"), v.select("row_index", F.lit("x").alias("feature"), "x"), 3)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString() and out.first()["n"] == 60
