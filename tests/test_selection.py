@@ -66,3 +66,9 @@ def test_holdout_takes_the_smallest_hashes(spark, n):
 def test_holdout_sorts_nothing_in_one_task(spark):
     plan = learn.holdout(spark.range(100).withColumnRenamed("id", "row_index"))._jdf.queryExecution().toString()
     assert "TakeOrdered" not in plan and "GlobalLimit" not in plan
+
+
+def test_lower_median_holds_no_table_of_values(spark, sf_dir):
+    from motionlake.plans.queries import QUERIES
+
+    assert "percentile" not in QUERIES["lower_median"](spark, sf_dir)._jdf.queryExecution().toString()
