@@ -101,9 +101,9 @@ def l2(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def cosine_distance(a: Column, b: Column, least: float = 0.0) -> Column:
-    """1 where a norm is at most `least`."""
-    na, nb = F.sqrt(dot(a, a)), F.sqrt(dot(b, b))
+def cosine_distance(a: Column, b: Column, least: float = 0.0, norms: tuple[Column, Column] | None = None) -> Column:
+    """1 where a norm is at most `least`. norms: those of a and b, if they are known."""
+    na, nb = norms or (F.sqrt(dot(a, a)), F.sqrt(dot(b, b)))
     return F.when((na <= least) | (nb <= least), 1.0).otherwise(1 - F.try_divide(dot(a, b), na * nb))
 
 

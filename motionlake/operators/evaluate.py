@@ -14,6 +14,9 @@ from ..session import ship_package, stored
 from ..sources.metadata import dense_numbers
 from .pairs import TILE, _all_blocks, block_count, knn
 
+#: Rows or so of a scope that an anchor meets at once.
+PART = 256
+
 
 def recall_at_k(vectors: DataFrame, label: str, k: int) -> DataFrame:
     """row_index, label, recall: same-label neighbours among the k nearest (cosine, never itself) over min(k, members);
@@ -191,31 +194,60 @@ def conditioned_consistency(vectors: DataFrame, features: DataFrame, candidates:
     """feature, n, ratio_mean, ratio_median, mean_cond_candidates, frac_fallback, note: neighbor_consistency with both choices
     limited to an anchor's candidates.
 
-    vectors: scope, row_index, embedding. features: row_index, feature, x (NULL left out). candidates: i, j inside scopes. An anchor with fewer than
-    `least` candidates that have the feature falls back to all other rows of its scope; candidates are counted
+    vectors: scope, row_index, embedding. features: row_index, feature, x (NULL left out). candidates: i, j inside scopes, each pair once. An anchor
+    with fewer than `least` candidates that have the feature falls back to all other rows of its scope; candidates are counted
     before that. Features of k + 1 values or fewer, or of nearly one value, have NULL ratios and a note.
+
+    Vectors are sent once for each part (PART rows at most or so) of a scope that they look into, never for each pair. What a part leaves of its
+    pairs are at most 2 * k for each anchor and feature.
     """
-    xs = features.where("x is not null").join(vectors.select("row_index", "scope"), "row_index")
-    a = xs.select("scope", "feature", F.col("row_index").alias("i"), F.col("x").alias("xi"))
-    b = xs.select("scope", "feature", F.col("row_index").alias("j"), F.col("x").alias("xj"))
-    gated = a.join(candidates.select("i", "j"), "i").join(b.drop("scope"), ["j", "feature"])
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = features.where("x is not null").groupBy("row_index").agg(F.collect_list(F.struct("feature", "x")).alias("xs"))
+    parts = vectors.groupBy("scope").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("row_index"), F.col("parts")).cast("int")
+    norm = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
+    rows = vectors.select("scope", "row_index", "embedding").join(values, "row_index").join(parts, "scope")
+    rows = stored(rows.select("scope", "parts", part.alias("part"), "row_index", "embedding", norm.alias("norm"), "xs"))
+    i, j = F.col("row_index").alias("i"), F.col("row_index").alias("j")
+    # whom of a part an anchor may meet
+    placed = candidates.select("i", "j").join(rows.select(j, "scope", "part"), "j").repartition(tasks, "scope", "part")
+    lists = stored(placed.groupBy("scope", "part", "i").agg(F.collect_list("j").alias("js")))
+    named = rows.select("scope", "part", j, F.transform("xs", lambda x: x["feature"]).alias("names"))
+    gated = lists.join(named, ["scope", "part"]).where(F.array_contains("js", F.col("j"))).select("i", F.explode("names").alias("feature"))
     counts = gated.groupBy("i", "feature").agg(F.count("*").alias("n_cand"))
-    anchors = a.join(counts, ["i", "feature"], "left").withColumn("n_cand", F.coalesce("n_cand", F.lit(0)))
-    poor = anchors.where(F.col("n_cand") < least).drop("n_cand").join(b, ["scope", "feature"]).where("i <> j")
-    rich = gated.join(counts.where(F.col("n_cand") >= least).select("i", "feature"), ["i", "feature"], "left_semi")
-    pool = rich.unionByName(poor).select("feature", "i", "j", F.abs(F.col("xi") - F.col("xj")).alias("gap"))
+    anchors = rows.select(i, F.explode("xs").alias("x")).select("i", "x.feature", F.col("x.x").alias("xi"))
+    anchors = stored(anchors.join(counts, ["i", "feature"], "left").withColumn("n_cand", F.coalesce("n_cand", F.lit(0))))
+    # an anchor asks the parts of its candidates for some features, and all parts of its scope for those that fall back
+    of_anchor = lambda such: anchors.where(such).groupBy("i").agg(F.collect_list(F.struct("feature", F.col("xi").alias("x"))).alias("xs"))
+    rich = of_anchor(F.col("n_cand") >= least).join(lists, "i")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    poor = of_anchor(F.col("n_cand") < least).join(rows.select(i, "scope", every), "i").withColumn("js", F.lit(None).cast(lists.schema["js"].dataType))
+    asks = rich.unionByName(poor).join(rows.select(i, F.col("embedding").alias("p"), F.col("norm").alias("p_norm")), "i")
+    # a fixed number of partitions: AQE goes by bytes, and pairs are far more than the vectors that they come from
+    asks = asks.repartition(tasks, "scope", "part")
+    found = rows.select("scope", "part", j, F.col("embedding").alias("q"), F.col("norm").alias("q_norm"), F.col("xs").alias("ys"))
+    may = F.when(F.col("js").isNull(), F.col("i") != F.col("j")).otherwise(F.array_contains("js", F.col("j")))
+    shared = F.exists("xs", lambda x: F.exists("ys", lambda y: y["feature"] == x["feature"]))
+    met = asks.join(found, ["scope", "part"]).where(may & shared)
+    both = lambda x: F.transform(F.filter("ys", lambda y: y["feature"] == x["feature"]), lambda y: F.struct(x["feature"].alias("feature"), F.abs(x["x"] - y["x"]).alias("gap")))
     # one distance and draw for each pair, whatever number of features it is for
-    v = vectors.select("row_index", "embedding")
-    met = pool.select("i", "j").distinct().join(v.select(F.col("row_index").alias("i"), F.col("embedding").alias("p")), "i").join(v.select(F.col("row_index").alias("j"), F.col("embedding").alias("q")), "j")
-    met = met.select("i", "j", F.round(cosine_distance(F.col("p"), F.col("q")), 12).alias("d"), F.md5(F.concat_ws("-", F.col("i").cast("string"), F.col("j").cast("string")).cast("binary")).alias("draw"))
-    pool = pool.join(met, ["i", "j"])
-    of = Window.partitionBy("feature", "i")
-    ranked = pool.withColumns({"near": F.row_number().over(of.orderBy("d", "j")), "any": F.row_number().over(of.orderBy("draw", "j"))})
+    d = F.round(cosine_distance(F.col("p"), F.col("q"), norms=(F.col("p_norm"), F.col("q_norm"))), 12)
+    draw = F.unhex(F.md5(F.concat_ws("-", F.col("i").cast("string"), F.col("j").cast("string")).cast("binary")))
+    pool = met.select("scope", "part", "i", "j", d.alias("d"), draw.alias("draw"), F.flatten(F.transform("xs", both)).alias("gaps"))
+    pool = pool.select("scope", "part", "i", "j", "d", "draw", F.explode("gaps").alias("g")).select("scope", "part", "i", "j", "d", "draw", "g.*")
+
+    def first(pairs: DataFrame, *by: str) -> DataFrame:
+        of = Window.partitionBy(*by)
+        ranked = pairs.withColumns({"near": F.row_number().over(of.orderBy("d", "j")), "any": F.row_number().over(of.orderBy("draw", "j"))})
+        return ranked.where(F.least("near", "any") <= k)
+
+    ranked = first(first(pool, "scope", "part", "i", "feature").select("i", "j", "feature", "d", "draw", "gap"), "i", "feature")
     mean = lambda c: F.avg(F.when(F.col(c) <= k, F.col("gap")))
-    ratio = ranked.groupBy("feature", "i").agg((mean("near") / F.greatest(mean("any"), F.lit(floor))).alias("ratio"))
-    ratio = ratio.join(F.broadcast(quantiles(ratio, {"top": (F.col("ratio"), clip_at)}, by=("feature",))), "feature")
-    clipped = F.greatest(F.lit(0.0), F.least("ratio", "top"))
-    ratios = ratio.groupBy("feature").agg(F.avg(clipped).alias("m"), F.median(clipped).alias("h"))
+    ratio = stored(ranked.groupBy("feature", "i").agg((mean("near") / F.greatest(mean("any"), F.lit(floor))).alias("ratio")).drop("i"))  # read four times below
+    top = quantiles(ratio, {"top": (F.col("ratio"), clip_at)}, by=("feature",))
+    clipped = ratio.join(F.broadcast(top), "feature").select("feature", F.greatest(F.lit(0.0), F.least("ratio", "top")).alias("ratio"))
+    middle = quantiles(clipped, {"h": (F.col("ratio"), 0.5)}, by=("feature",))
+    ratios = clipped.groupBy("feature").agg(F.avg("ratio").alias("m")).join(middle, "feature")
     per = anchors.groupBy("feature").agg(F.count("*").alias("n"), F.stddev_pop("xi").alias("s"), F.avg("n_cand").alias("c"), F.avg(F.when(F.col("n_cand") < least, 1.0).otherwise(0.0)).alias("f"))
     note = F.when(F.col("n") <= k + 1, "too few").when(F.col("s") < least_std, "constant").otherwise("ok")
     ok = lambda c: F.when(F.col("note") == "ok", F.col(c))

@@ -1,6 +1,10 @@
 """Losses, views and scans against plain values, and odd inputs of the report operators."""
 
+import hashlib
 import json
+import math
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,3 +79,47 @@ def test_neighbours_are_found_once(spark, monkeypatch):
     v = spark.createDataFrame(rows, "row_index long, embedding array<double>, x double")
     out = evaluate.neighbor_consistency(v.select("row_index", "embedding"), v.select("row_index", F.lit("x").alias("feature"), "x"), 3)
     assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString() and out.first()["n"] == 60
+
+
+def _sent(spark):
+    """Bytes shuffled so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_gated_pairs_carry_no_vectors(spark, monkeypatch):
+    """conditioned_consistency sends a vector for each part of its scope, not for each pair; the values are those of plain code."""
+    monkeypatch.setattr(evaluate, "PART", 24, raising=False)
+    rnd, width, k, least = random.Random(3), 256, 3, 8
+    scope = {i: i // 40 for i in range(100)}
+    at = {i: [rnd.gauss(0, 1) for _ in range(width)] for i in scope}
+    x = {"all": {i: rnd.random() for i in scope}, "some": {i: rnd.random() for i in scope if i % 3}}
+    cand = {(i, j) for i in scope for j in scope if i != j and scope[i] == scope[j] and (i * j) % 4 in (1, 2)}
+    v = spark.createDataFrame([(scope[i], i, e) for i, e in at.items()], "scope long, row_index long, embedding array<double>")
+    xs = spark.createDataFrame([(i, f, value) for f, values in x.items() for i, value in values.items()], "row_index long, feature string, x double")
+    gate = spark.createDataFrame(sorted(cand), "i long, j long")
+    near, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), _sent(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["feature"]: r for r in evaluate.conditioned_consistency(v, xs, gate, k, least, clip_at=0.9).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", near)
+    assert _sent(spark) - before < 12 * len(scope) * width * 8
+    cos = lambda a, b: round(1 - sum(map(float.__mul__, a, b)) / (math.hypot(*a) * math.hypot(*b)), 12)
+    for f, values in x.items():
+        ratios, counts = [], []
+        for i in values:
+            own = [j for j in values if (i, j) in cand]
+            counts.append(len(own))
+            pool = own if len(own) >= least else [j for j in values if j != i and scope[j] == scope[i]]
+            gap = lambda key: statistics.mean(abs(values[i] - values[j]) for j in sorted(pool, key=key)[:k])  # noqa: B023, E731
+            ratios.append(gap(lambda j: (cos(at[i], at[j]), j)) / max(gap(lambda j: (hashlib.md5(f"{i}-{j}".encode()).hexdigest(), j)), 1e-3))  # noqa: B023
+        ratios.sort()
+        place = 0.9 * (len(ratios) - 1)
+        top = ratios[int(place)] + (place - int(place)) * (ratios[int(place) + 1] - ratios[int(place)])
+        clipped = [min(r, top) for r in ratios]
+        assert 0 < sum(c < least for c in counts) < len(counts) and got[f]["n"] == len(counts)
+        want = (statistics.mean(clipped), statistics.median(clipped), statistics.mean(counts), statistics.mean(c < least for c in counts))
+        assert got[f][2:6] == pytest.approx(want)
