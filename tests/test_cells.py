@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +37,66 @@ def test_boxes_keep_their_tasks(spark):
     assert pairs.box_pairs(rows, scope="scope").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def crowded(spark, n):
+    """n conditions, any two within a box."""
+    at = lambda c: (F.pmod(F.xxhash64("id", F.lit(c)), F.lit(1000)) / 2500).alias(c)
+    return spark.range(n).select(F.col("id").alias("wid"), F.lit(0).alias("bucket"), *(at(c) for c in ("speed_mean", "dist_mean", "vrel_mean")))
+
+
+def test_what_boxes_send_grows_with_the_rows(spark, monkeypatch):
+    """Points go to a bounded number of blocks, not to every part of a crowd."""
+    sent, kind = [], type(spark.range(0))
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *args: sent.append(self) or plain(self, *args))
+    monkeypatch.setattr(cells, "CROWD", 8)
+    for n in (320, 1280):
+        assert pairs.box_pairs(crowded(spark, n)).count() == n * (n - 1)
+    points = [tiles.select(F.sum(F.size("left") + F.size("right"))).first()[0] for tiles in sent]
+    assert len(points) == 2 and 0 < points[1] <= 4 * points[0] <= 4 * 320 * (cells.MOST + 1)
+
+
+def test_boxes_are_small_in_files(spark, tmp_path):
+    """The j of an i come in runs, each again for the next i, so that files hold less than half a byte for a pair."""
+    pairs.box_pairs(crowded(spark, 2000)).coalesce(1).write.parquet(str(tmp_path / "pairs"))
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * 2000 * 1999
+
+
+@pytest.mark.parametrize(("run", "most", "held"), [(504, 16, 1 << 20), (7, 3, 1 << 20), (3, 1, 10)])
+def test_boxes_of_blocks_equal_all_pairs(spark, monkeypatch, run, most, held):
+    for name, value in (("CROWD", 9), ("RUN", run), ("MOST", most), ("HELD", held), ("PAIRS", 50)):
+        monkeypatch.setattr(cells, name, value)
+    rows = conditions(random.Random(5), 200)
+    rows = [(r[0], r[1] * 2 if i % 3 else r[1], *r[2:]) for i, r in enumerate(rows)]
+    base = pa.array([r[0] for r in rows])
+    got = pairs.box_pairs(spark.createDataFrame(rows, COND), dist=2.5, scope="scope").collect()
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] != b[0] and a[4:] == b[4:] and all(abs(a[c] - b[c]) <= t for c, t in ((1, 2.0), (2, 2.5), (3, 1.0)))}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want and want
+    # the tile itself, with the sizes above (workers have those of the module)
+    points = pa.StructArray.from_arrays([pa.array([float(r[c]) for r in rows]) for c in (1, 2, 3)] + [base], ["x", "y", "z", "id"])
+    cut = len(rows) // 3
+    left, right = (pa.ListArray.from_arrays(pa.array(x, pa.int32()), points) for x in ([0, 0, cut], [0, 5, len(rows)]))
+    batch = pa.RecordBatch.from_arrays([left, right, pa.array([False, True])], ["left", "right", "both"])
+    near = lambda a, b: all(abs(a[c] - b[c]) <= t for c, t in ((1, 2.0), (2, 2.5), (3, 1.0)))
+    one, two = [(a[0], b[0]) for a in rows[:cut] for b in rows[5:] if near(a, b)], [(b[0], a[0]) for a in rows[:cut] for b in rows[5:] if near(a, b)]
+    made = [p for out in cells._box_pairs(iter([batch]), (2.0, 2.5, 1.0)) for p in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    assert sorted(made) == sorted(one + two)
+
+
+def test_boxes_at_their_edges(spark):
+    """A difference that rounds to a side counts, as in SQL, though the points are two cells apart; what is no number is near nothing."""
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, 1.9999999999999998, 1.0, 0.0), (2, 4.0, 1.0, 0.0), (3, 4.0, 6.0, 1.0), (4, nan, 1.0, 0.0), (5, nan, 1.0, 0.0), (6, inf, 1.0, 0.0), (7, inf, 1.0, 0.0), (8, None, 1.0, 0.0)]
+    got = pairs.box_pairs(spark.createDataFrame([(*r, 0, 0) for r in rows], COND)).collect()
+    assert abs(rows[0][1] - rows[1][1]) <= 2.0 and sorted(map(tuple, got)) == [(1, 2), (1, 3), (2, 1), (2, 3), (3, 1), (3, 2)]
+    assert pairs.box_pairs(spark.createDataFrame([], COND)).count() == 0
+
+
+def test_boxes_of_named_windows(spark):
+    """Keys of windows of named scenarios are structs."""
+    rows = spark.range(6).select(F.struct(F.format_string("s%d", F.col("id") % 2).alias("scenario_id"), F.col("id").alias("start")).alias("wid"), F.lit(0).alias("bucket"), *(F.lit(1.0).alias(c) for c in ("speed_mean", "dist_mean", "vrel_mean")))
+    assert len({(tuple(r["i"]), tuple(r["j"])) for r in pairs.box_pairs(rows).collect()}) == 30
+
+
 def scale(values, mode):
     ordered = sorted(values)
     low = lambda v: sorted(v)[(len(v) - 1) // 2]
