hybrid_loss: one join of the vectors and one shuffle of their pairs

Symptom: hybrid_loss shuffled 440 MB (640 MB read back) for 20 MB of vectors: its plan joined the vectors four times and moved all pairs for each join by (i, j) and each window by anchor.
Evidence: the profiler, 51,282 vectors: 28 exchanges and 13 sort-merge joins, 440 MB written, 640 read, 38 s, 9,809 CPU seconds a GB, 205,128 rows read, 1,260 MB peak on an executor; event log: eleven stages sent 2.9 to 3.3 million pairs each or the vectors again, and lengths were taken anew for each number of a unit vector.
Fix: scoped_pairs can bring both vectors along, so similarities adds s to the same row as d; local scales, targets, soft_kl and supcon work as windows of the anchor on these rows, and repeated ids keep the weights that the joins gave them.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 1249 -> 660 s, shuffle 1.18 -> 0.24 GB, spill 0.00 -> 0.00 GB, read 0.13 -> 0.04 GB, longest task 20 -> 25 s, most memory of a task 140 -> 140 MB; at 6 GB of input CPU 5440 -> 1857 s, shuffle 7.18 -> 1.46 GB, spill 0.00 -> 0.00 GB, read 0.78 -> 0.26 GB, longest task 111 -> 104 s, most memory of a task 443 -> 472 MB; with hot keys, at 1 GB of input CPU 676 -> 444 s, shuffle 0.57 -> 0.12 GB, spill 0.00 -> 0.00 GB, read 0.08 -> 0.03 GB, longest task 9 -> 14 s, most memory of a task 135 -> 135 MB.

@@ -107,8 +107,13 @@ def cosine_distance(a: Column, b: Column, least: float = 0.0, norms: tuple[Colum
     return F.when((na <= least) | (nb <= least), 1.0).otherwise(1 - F.try_divide(dot(a, b), na * nb))
 
 
-def unit(v: Column, floor: float = 1e-12) -> Column:
-    return F.transform(v, lambda x: x / F.greatest(F.sqrt(dot(v, v)), F.lit(floor)))
+def length(v: Column, floor: float = 1e-12) -> Column:
+    return F.greatest(F.sqrt(dot(v, v)), F.lit(floor))
+
+
+def unit(v: Column, floor: float = 1e-12, norm: Column | None = None) -> Column:
+    """norm: the length of v, if it is known; else it is taken anew for each number."""
+    return F.transform(v, lambda x: x / (length(v, floor) if norm is None else norm))
 
 
 def masked_mean_square(a: Column, b: Column, least_common: int = 1) -> Column:

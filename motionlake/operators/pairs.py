@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import cosine_distance, dot, l2, unit
+from ..functions.scalar import cosine_distance, dot, l2, length, unit
 from ..functions.selection import quantiles
 from ..session import ship_package, stored
 from . import cells, pivots
@@ -153,11 +153,16 @@ def knn(vectors: DataFrame, k: int, metric: str = "cosine", farthest: bool = Fal
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def scoped_pairs(vectors: DataFrame, metric: str = "l2", scope: str = "scope") -> DataFrame:
-    """scope, i, j, d for all other vectors of the same scope. Cost grows with the square of a scope, so keep scopes bounded."""
-    a = vectors.select(scope, F.col("row_index").alias("i"), F.col("embedding").alias("x"))
-    b = vectors.select(scope, F.col("row_index").alias("j"), F.col("embedding").alias("y"))
+def scoped_pairs(vectors: DataFrame, metric: str = "l2", scope: str = "scope", ends: bool = False) -> DataFrame:
+    """scope, i, j, d for all other vectors of the same scope. Cost grows with the square of a scope, so keep scopes bounded.
+    ends: with the vectors and their lengths (x, y, x_norm, y_norm), and with pairs of an id and itself, which have no d."""
+    more = [length(F.col("embedding")).alias("norm")] if ends else []
+    rows = vectors.select(scope, "row_index", "embedding", *more)
+    a = rows.withColumnsRenamed({"row_index": "i", "embedding": "x", "norm": "x_norm"})
+    b = rows.withColumnsRenamed({"row_index": "j", "embedding": "y", "norm": "y_norm"})
     d = l2(F.col("x"), F.col("y")) if metric == "l2" else cosine_distance(F.col("x"), F.col("y"))
+    if ends:
+        return a.join(b, scope).withColumn("d", F.when(F.col("i") != F.col("j"), d))
     return a.join(b, scope).where("i <> j").select(scope, "i", "j", d.alias("d"))
 
 
@@ -217,8 +222,14 @@ def with_fallback(pairs: DataFrame, rows: DataFrame, least: int = 1) -> DataFram
     return good.unionByName(rest)
 
 
-def local_scales(pairs: DataFrame, k: int = 7, floor: float = 1e-3) -> DataFrame:
-    """i, sigma: the distance of the k-th nearest (or of the last, with fewer)."""
+def local_scales(pairs: DataFrame, k: int = 7, floor: float = 1e-3, each: bool = False) -> DataFrame:
+    """i, sigma: the distance of the k-th nearest (or of the last, with fewer). each: all pairs with the sigma of their i, if it has one."""
+    if each:
+        own = Window.partitionBy("i")
+        rank = F.row_number().over(own.orderBy(F.col("d").asc_nulls_last(), "j"))
+        kth = F.when(F.col("i").isNotNull() & (F.col("_rank") == F.least(F.lit(k), F.count("d").over(own))), F.greatest("d", F.lit(floor)))
+        ranked = pairs.withColumn("_rank", rank).withColumn("_kth", kth).withColumn("sigma", F.max("_kth").over(own))
+        return ranked.where("sigma is not null").drop("_rank", "_kth")
     w = Window.partitionBy("i").orderBy("d", "j")
     ranked = pairs.where("d is not null").withColumns({"rn": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy("i"))})
     return ranked.where(F.col("rn") == F.least(F.lit(k), F.col("n"))).select("i", F.greatest("d", F.lit(floor)).alias("sigma"))
@@ -230,13 +241,12 @@ def kernel_logits(pairs: DataFrame, kind: str = "row", k: int = 7, alpha: float
         by = "scope" if kind == "tau" else "i"
         tau = pairs.groupBy(by).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY d)").alias("tau"))
         return pairs.join(tau, by).withColumn("logit", -F.col("d") / F.greatest("tau", F.lit(floor))).drop("tau")
-    sigma = local_scales(pairs, k, floor)
-    out = pairs.join(sigma, "i")
     if kind == "row":
-        return out.withColumn("logit", -F.col("d") / F.col("sigma") * alpha).drop("sigma")
+        return local_scales(pairs, k, floor, each=True).withColumn("logit", -F.col("d") / F.col("sigma") * alpha).drop("sigma")
     if kind != "sym":
         raise ValueError("kind must be row, sym, tau or anchor_tau")
-    out = out.join(sigma.select(F.col("i").alias("j"), F.col("sigma").alias("sigma_j")), "j")
+    sigma = local_scales(pairs, k, floor)
+    out = pairs.join(sigma, "i").join(sigma.select(F.col("i").alias("j"), F.col("sigma").alias("sigma_j")), "j")
     return out.withColumn("logit", -(F.col("d") * F.col("d")) / (F.col("sigma") * F.col("sigma_j") + eps) * alpha).drop("sigma", "sigma_j")
 
 
@@ -303,8 +313,12 @@ def spread(targets: DataFrame, eps: float = 1e-8) -> DataFrame:
     return targets.groupBy("i").agg((-F.sum(F.col("p") * F.log(F.col("p") + eps))).alias("entropy"), (1 / (F.sum(F.col("p") * F.col("p")) + eps)).alias("effective_k"))
 
 
-def similarities(vectors: DataFrame, temperature: float, keep_self: bool = False) -> DataFrame:
-    """scope, i, j, s: dot products of unit vectors over the temperature."""
+def similarities(vectors: DataFrame, temperature: float, keep_self: bool = False, paired: bool = False) -> DataFrame:
+    """scope, i, j, s: dot products of unit vectors over the temperature. paired: vectors are the pairs of scoped_pairs with their
+    ends, which are not joined again and keep d."""
+    if paired:
+        s = dot(unit(F.col("x"), norm=F.col("x_norm")), unit(F.col("y"), norm=F.col("y_norm"))) / temperature
+        return (vectors if keep_self else vectors.where("i <> j")).select("scope", "i", "j", "d", s.alias("s"))
     u = vectors.withColumn("embedding", unit(F.col("embedding")))
     a = u.select("scope", F.col("row_index").alias("i"), F.col("embedding").alias("x"))
     b = u.select("scope", F.col("row_index").alias("j"), F.col("embedding").alias("y"))
@@ -314,27 +328,49 @@ def similarities(vectors: DataFrame, temperature: float, keep_self: bool = False
     return pairs.select("scope", "i", "j", (dot(F.col("x"), F.col("y")) / temperature).alias("s"))
 
 
-def infonce(sims: DataFrame, positives: DataFrame, negatives: DataFrame | None = None) -> DataFrame:
+def infonce(sims: DataFrame, positives: DataFrame | None = None, negatives: DataFrame | None = None) -> DataFrame:
     """i, loss: minus the log share of the positives' mass among positives and negatives (all others without negatives).
-    Anchors without positives are left out."""
-    marked = sims.join(positives.select("i", "j", F.lit(True).alias("pos")), ["i", "j"], "left")
+    Anchors without positives are left out. Without positives, sims are marked: `pos` (true or null), and `times`, how often a row counts."""
+    if positives is None:
+        marked = sims
+    else:
+        marked = sims.join(positives.select("i", "j", F.lit(True).alias("pos")), ["i", "j"], "left").withColumn("times", F.lit(1))
     if negatives is not None:
         marked = marked.join(negatives.select("i", "j", F.lit(True).alias("neg")), ["i", "j"], "left").where("pos or neg")
-    top = marked.withColumn("_top", F.max("s").over(Window.partitionBy("i")))
-    out = top.groupBy("i", "_top").agg(F.count("pos").alias("n"), F.log(F.sum(F.exp(F.col("s") - F.col("_top")))).alias("all"), F.sum(F.when(F.col("pos"), F.exp(F.col("s") - F.col("_top"))).otherwise(0.0)).alias("mass"))
-    return out.where("n > 0").select("i", (F.col("all") - F.log("mass")).alias("loss"))
-
-
-def soft_kl(sims_with_self: DataFrame, targets: DataFrame) -> DataFrame:
-    """i, loss: cross entropy of the targets against the log-softmax over all columns, the own one included."""
+    # sums of windows in the order of the rows, which need no table of anchors beside the sorted pairs
+    own = Window.partitionBy("i")
+    top = marked.withColumn("_top", F.max("s").over(own))
+    mass = F.col("times") * F.exp(F.col("s") - F.col("_top"))
+    sums = {"n": F.count("pos"), "all": F.sum(mass), "mass": F.sum(F.when(F.col("pos"), mass).otherwise(0.0))}
+    out = top.select("i", *(x.over(own).alias(name) for name, x in sums.items()), F.row_number().over(own.orderBy("j")).alias("nth"))
+    return out.where("nth = 1 and n > 0").select("i", (F.log("all") - F.log("mass")).alias("loss"))
+
+
+def soft_kl(sims_with_self: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """i, loss: cross entropy of the targets against the log-softmax over all columns, the own one included. Without targets, sims have
+    them as p, which is null for pairs that are no targets."""
     w = Window.partitionBy("i")
     top = sims_with_self.withColumn("_top", F.max("s").over(w))
     log_q = top.withColumn("lq", F.col("s") - F.col("_top") - F.log(F.sum(F.exp(F.col("s") - F.col("_top"))).over(w)))
+    if targets is None:
+        # ids may be repeated: each p of an i and j meets each lq of both, as in a join; sums of windows, as in infonce
+        met = log_q.withColumn("lq", F.sum("lq").over(Window.partitionBy("i", "j")))
+        out = met.select("i", (-F.sum(F.col("p") * F.col("lq")).over(w)).alias("loss"), F.row_number().over(w.orderBy("j")).alias("nth"))
+        return out.where("nth = 1").select("i", "loss")
     return log_q.join(targets.select("i", "j", "p"), ["i", "j"]).groupBy("i").agg((-F.sum(F.col("p") * F.col("lq"))).alias("loss"))
 
 
-def supcon(sims: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """i, loss: InfoNCE whose positives are the k nearest by feature distance and whose negatives are the other candidates."""
+def supcon(sims: DataFrame, pairs: DataFrame | None, k: int) -> DataFrame:
+    """i, loss: InfoNCE whose positives are the k nearest by feature distance and whose negatives are the other candidates.
+    Without pairs, sims have their distances as d, which is null for pairs that are no candidates."""
+    if pairs is None:
+        rank = F.row_number().over(Window.partitionBy("i").orderBy(F.col("d").asc_nulls_last(), "j"))
+        same = Window.partitionBy("i", "j")
+        ranked = sims.withColumn("_rank", F.when(F.col("d").isNotNull(), rank))
+        # ids may be repeated: a row of i and j meets each positive and each negative of both
+        marked = ranked.withColumns({"near": F.count_if(F.col("_rank") <= k).over(same), "far": F.count_if(F.col("_rank") > k).over(same)}).where("near + far > 0")
+        times = F.greatest("near", F.lit(1)) * F.greatest("far", F.lit(1))
+        return infonce(marked.select("i", "j", "s", F.when(F.col("near") > 0, True).alias("pos"), times.alias("times")))
     rank = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
     ranked = pairs.where("d is not null").select("i", "j", rank.alias("rank"))
     return infonce(sims, ranked.where(F.col("rank") <= k), ranked.where(F.col("rank") > k))

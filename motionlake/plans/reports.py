@@ -58,9 +58,10 @@ def batch_std_norm(spark, d):
     SELECT scope, soft, sup, 0.7 * soft + 0.3 * sup AS loss FROM (SELECT i // 64 AS scope, avg(loss) AS soft FROM a GROUP BY 1) JOIN (SELECT i // 64 AS scope, avg(loss) AS sup FROM b GROUP BY 1) USING (scope)""", "soft sup loss")
 def hybrid_loss(spark, d):
     v = _vectors(spark, d)
-    near = pairs.scoped_pairs(v)
-    soft = pairs.soft_kl(pairs.similarities(v, 0.1, keep_self=True), pairs.soft_targets(pairs.kernel_logits(near)))
-    return pairs.hybrid(soft, pairs.supcon(pairs.similarities(v, 0.1), near, 5), v, 0.7, 0.3)
+    # one join of the vectors, and one shuffle of their pairs, for both losses
+    near = pairs.similarities(pairs.scoped_pairs(v, ends=True), 0.1, keep_self=True, paired=True)
+    soft = pairs.soft_kl(pairs.soft_targets(pairs.kernel_logits(near)))
+    return pairs.hybrid(soft, pairs.supcon(near, None, 5), v, 0.7, 0.3)
 
 
 # evaluation
