@@ -510,9 +510,9 @@ def sanitized_gap(spark, d):
 @query("lower_median", "SELECT l_returnflag, quantile_disc(l_extendedprice, 0.5) AS low, median(l_extendedprice) AS middle, quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25) AS iqr FROM lineitem GROUP BY 1", "low middle iqr")
 def lower_median(spark, d):
     r, price = tables.load(spark, d, "lineitem"), F.col("l_extendedprice")
-    low = selection.quantiles(r, {"low": (price, 0.5)}, ("l_returnflag",), discrete=True)
-    ends = selection.quantiles(r, {"middle": (price, 0.5), "upper": (price, 0.75), "under": (price, 0.25)}, ("l_returnflag",)).withColumnRenamed("l_returnflag", "flag")
-    return low.join(ends, F.col("l_returnflag").eqNullSafe(F.col("flag"))).select("l_returnflag", "low", "middle", (F.col("upper") - F.col("under")).alias("iqr"))
+    ends = {"low": (price, 0.5), "middle": (price, 0.5), "upper": (price, 0.75), "under": (price, 0.25)}
+    found = selection.quantiles(r, ends, ("l_returnflag",), discrete=("low",))
+    return found.select("l_returnflag", "low", "middle", (F.col("upper") - F.col("under")).alias("iqr"))
 
 
 @query("imputed_minimum", "SELECT event_id, coalesce(CASE WHEN event_type <> 'error' THEN value END, min(value) FILTER (event_type <> 'error') OVER (), 0) AS value FROM events", "value")

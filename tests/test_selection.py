@@ -72,3 +72,34 @@ def test_lower_median_holds_no_table_of_values(spark, sf_dir):
     from motionlake.plans.queries import QUERIES
 
     assert "percentile" not in QUERIES["lower_median"](spark, sf_dir)._jdf.queryExecution().toString()
+
+
+def test_names_of_one_column_share_its_values(spark, monkeypatch):
+    """Discrete and interpolated quantiles of a column store its values once, and later passes only what is near a wanted rank."""
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), rng.uniform(1, 1000)) for _ in range(3000)] + [("c", None), ("c", None), (None, None), ("d", 5.0), ("d", 5.0), ("e", float("nan"))]
+    table = spark.createDataFrame(rows, "kind string, x double").repartition(4)
+    held, plain_stored = [], selection.stored
+
+    def counting(df):
+        out = plain_stored(df)
+        held.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(selection, "stored", counting)
+    x = F.col("x")
+    got = selection.quantiles(table, {"low": (x, 0.5), "mid": (x, 0.5), "top": (x, 0.75), "ends": (x, 1.0)}, by=("kind",), discrete=("low", "ends"))
+    want = table.groupBy("kind").agg(
+        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY x)").alias("low"), F.percentile("x", F.lit(0.5)).alias("mid"), F.percentile("x", F.lit(0.75)).alias("top"), F.max("x").alias("ends"),
+    )
+    assert plain(got) == plain(want)
+    values = [n for columns, n in held if columns[:2] == ["g", "x"]]
+    assert values[0] == len(rows) and 0 < sum(values[1:]) < len(rows) / 4
+
+
+def test_passes_end_where_no_range_is_left(spark, monkeypatch):
+    held, plain_stored = [], selection.stored
+    monkeypatch.setattr(selection, "stored", lambda df: held.append(df) or plain_stored(df))
+    table = spark.range(500).select((F.col("id") % 3).cast("double").alias("x"))
+    assert tuple(selection.quantiles(table, {"m": (F.col("x"), 0.5), "top": (F.col("x"), 0.9)}).first()) == (1.0, 2.0)
+    assert len(held) == 3  # values, counts and the ranges of one pass
