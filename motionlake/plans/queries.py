cond_fallback: conditions of the windows are made once, for the gate and for the fallback

Symptom: cond_fallback shuffled 21 MB (30 MB read back) for 2 MB of events, and scanned the events five times.
Evidence: the profiler, events of sf0.1: 54 exchanges, 21 Window nodes, 504,941 rows read, 21 MB written and 30 read, 6 s; event log: 10.7 MB written for the gate's windows in two scans, and 10.0 MB in three more for the fallback, which needs only their ids and scopes.
Fix: the conditions, a row for each window, are stored as a table once; the box join and the fallback read that table.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 1218 -> 1133 s, shuffle 1.40 -> 0.73 GB, spill 0.00 -> 0.00 GB, read 0.46 -> 0.21 GB, longest task 6 -> 7 s, most memory of a task 111 -> 111 MB; at 6 GB of input CPU 2178 -> 2137 s, shuffle 8.75 -> 4.56 GB, spill 0.00 -> 0.00 GB, read 3.13 -> 1.39 GB, longest task 10 -> 15 s, most memory of a task 436 -> 436 MB; with hot keys, at 1 GB of input CPU 842 -> 960 s, shuffle 1.20 -> 0.63 GB, spill 0.00 -> 0.00 GB, read 0.45 -> 0.20 GB, longest task 5 -> 7 s, most memory of a task 235 -> 235 MB.

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar, selection
 from ..operators import evaluate, features, lead, learn, pairs, retrieve, rollouts, windows
+from ..session import stored
 from ..sources import metadata, tables
 from . import sql
 from .registry import ORACLES, QUERIES, query
@@ -433,6 +434,8 @@ def cond_knn_join(spark, d):
     n AS (SELECT i, count(*) AS n FROM g GROUP BY i HAVING count(*) >= 8) SELECT c.row_index AS i, n.i IS NULL AS fallback, coalesce(n.n, (SELECT count(*) FROM c y WHERE y.scope = c.scope AND y.row_index <> c.row_index)) AS n_candidates FROM c LEFT JOIN n ON n.i = c.row_index""")
 def cond_fallback(spark, d):
     cond = features.conditions(_kin(spark, d)).withColumn("scope", F.call_function("div", windows.scenario_of(F.col("wid")), F.lit(10)))
+    # a row for each window, read by the gate and by the fallback: else both would make all windows from their frames
+    cond = stored(cond.select("scope", "bucket", "wid", "speed_mean", "dist_mean", "vrel_mean"))
     rows = cond.select("scope", F.col("wid").alias("row_index"))
     box = pairs.box_pairs(cond, speed=0.5, scope="scope")
     gated = pairs.with_fallback(box, rows, 8).groupBy("i", "fallback").agg(F.count("*").alias("n_candidates"))
